@@ -11,6 +11,8 @@ from palisade.llm.bpe import bpe_digests
 from palisade.llm.common import documents
 from palisade.llm.mixing import mix
 from palisade.llm.sharding import hilbert_shards
+from palisade.llm.substrings import substring_dedup
+from palisade.llm.suffixes import suffix_dedup
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -19,6 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir), shards=24)
 
@@ -27,10 +33,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_bpe": op7_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
