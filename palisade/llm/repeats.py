@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from palisade.llm.hashing import VALUES, grams, mix, prefix, sliding_min, stretches, word_bounds
 
 #: Fragments that a task holds at once; different fragments of one anchor in these that make it hot; and the same over all.
-CHUNK, HOT_HERE, HOT = 1_000_000, 16, 4096
-#: Windows in a fragment at most.
-LONGEST = 64
+CHUNK, HOT_HERE, HOT = 1_000_000, 64, 4096
+#: Windows in a fragment at most; an anchor that doesn't recur in its own text has no more than window - gram + 1.
+LONGEST = 255
 NO_ID = (1 << 63) - 1
 LONE, HOT_MARK, NEEDED_HOT, REMOVE, NEEDED = range(5)
 
@@ -94,6 +94,10 @@ def _sizes(new: np.ndarray) -> np.ndarray:
     return np.repeat(size, size)
 
 
+def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(doc.view(np.uint64) ^ mix(at.view(np.uint64))).view(np.int64)
+
+
 def _anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -104,16 +108,14 @@ def _anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         real = _groups(anchor, content, doc, at)  # equal rows once
         anchor, content, doc, at = anchor[real], content[real], doc[real], at[real]
         first = _groups(anchor, content)
-        kind = np.where(first, LONE, REMOVE).astype(np.int8)
-        a = anchor[first]
-        hot = _sizes(_groups(a)) > units.hot_here
-        kind[np.flatnonzero(first)[hot]] = NEEDED_HOT
-        marks = np.flatnonzero(first)[hot & _groups(a)]
-        by_doc = mix(doc.view(np.uint64) ^ mix(anchor.view(np.uint64))).view(np.int64)
-        route = np.where(kind == LONE, anchor, by_doc)
-        yield _batch(route=route, kind=kind, anchor=anchor, doc=doc, at=at)
-        if len(marks):
-            yield _batch(route=anchor[marks], kind=np.full(len(marks), HOT_MARK, np.int8), anchor=anchor[marks], doc=doc[marks], at=at[marks])
+        gone, start, end = merged(doc[~first], at[~first] >> 8, (at[~first] >> 8) + (at[~first] & 0xFF) + units.window - 1)
+        yield _batch(route=_spread(gone, start), kind=np.full(len(gone), REMOVE, np.int8), anchor=end - start, doc=gone, at=start << 8)
+        anchor, doc, at = anchor[first], doc[first], at[first]
+        new = _groups(anchor)
+        hot = _sizes(new) > units.hot_here
+        yield _batch(route=np.where(hot, _spread(doc, at), anchor), kind=np.where(hot, NEEDED_HOT, LONE).astype(np.int8), anchor=anchor, doc=doc, at=at)
+        marks = hot & new
+        yield _batch(route=anchor[marks], kind=np.full(int(marks.sum()), HOT_MARK, np.int8), anchor=anchor[marks], doc=doc[marks], at=at[marks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -171,7 +173,7 @@ def _contents(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, docs, ats, contents = [], [], [], []
+            keys, docs, ats, sizes, contents = [], [], [], [], []
             for doc, text, found in zip(b.column("doc").to_pylist(), b.column("text"), b.column("found"), strict=True):
                 raw = text.as_buffer()
                 raw = b"" if raw is None else raw.to_pybytes()
@@ -183,8 +185,9 @@ def _contents(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 for a, k, g in zip(at.tolist(), kind.tolist(), anchor.tolist(), strict=True):
                     first, n = a >> 8 & 0xFFFFFFFF, a & 0xFF
                     if k == REMOVE:
-                        keys.append(g)
+                        keys.append(a ^ doc)
                         ats.append(a)
+                        sizes.append(g)
                         contents.append(None)
                     else:
                         cuts = [(first, n)] if k == NEEDED else [(first + j, 1) for j in range(n)]
@@ -193,10 +196,11 @@ def _contents(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                             cut = raw[f:last] if left is None else b" ".join(raw[i:j] for i, j in zip(left[f:last].tolist(), right[f:last].tolist(), strict=True))
                             keys.append(g if k == NEEDED else int.from_bytes(hashlib.blake2b(cut, digest_size=8).digest(), "little", signed=True))
                             ats.append(a >> 40 << 40 | f << 8 | m)
+                            sizes.append(last - f)
                             contents.append(cut)
                 docs += [doc] * (len(ats) - len(docs))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(contents, pa.binary())], ["key", "doc", "at", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int32()), pa.array(contents, pa.binary())], ["key", "doc", "at", "size", "content"])
 
     return run
 
@@ -207,9 +211,8 @@ def _resolved(resolve: Resolve, units: Units, block: int) -> Callable[[Iterator[
         for b in batches:
             gone = np.asarray(b.column("content").is_null())
             if gone.any():
-                at = b.column("at").to_numpy()[gone]
-                start = at >> 8
-                yield _batch(doc=b.column("doc").to_numpy()[gone], start=start, size=((at & 0xFF) + units.window - 1).astype(np.int32))
+                passed = b.filter(pa.array(gone))
+                yield _batch(doc=passed.column("doc"), start=passed.column("at").to_numpy() >> 8, size=passed.column("size"))
             kept.append(b.filter(pa.array(~gone)))
         kept = [b for b in kept if b.num_rows]
         if not kept:
@@ -265,7 +268,7 @@ def with_removed(docs: DataFrame, units: Units, resolve: Resolve, finish: Callab
     spans = (
         dealt.join(found.hint("shuffle_hash"), "doc")
         .select("doc", "text", "found")
-        .mapInArrow(_contents(units), "key long, doc long, at long, content binary")
+        .mapInArrow(_contents(units), "key long, doc long, at long, size int, content binary")
         .repartition(parts, "key")
         .mapInArrow(_resolved(resolve, units, block), "doc long, start long, size int")
         .groupBy("doc")

@@ -23,8 +23,8 @@ from palisade.llm.hashing import word_bounds
 from palisade.llm.repeats import NO_ID, Units, removed_units, with_removed
 
 WINDOW, GRAM = 20, 8
-#: Fragments in one automaton's shard.
-SHARD = 20_000
+#: Fragments looked at together, and passages in one automaton.
+SHARD, PASSAGES = 10_000, 20_000
 
 
 def as_strings(contents: list[bytes]) -> list[str]:
@@ -64,18 +64,16 @@ def confirmed(strings: list[str], docs: np.ndarray, starts: np.ndarray, window:
 def locate(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, start, size) of all occurrences of confirmed passages but each passage's first."""
     strings = as_strings(contents)
-    passages = confirmed(strings, docs, starts, window)
-    none = np.zeros(0, np.int64)
-    if not passages:
-        return none, none, none
-    automaton = ahocorasick.Automaton()
-    for k, p in enumerate(passages):
-        automaton.add_word(p, (k, len(p)))
-    automaton.make_automaton()
-    hits: list[tuple[int, int, int, int]] = []
-    for i, s in enumerate(strings):
-        hits += [(k, i, end - size + 1, size) for end, (k, size) in automaton.iter(s)]
-    passage, fragment, offset, size = np.array(hits, np.int64).reshape(-1, 4).T
+    passages = list(confirmed(strings, docs, starts, window))
+    hits: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+    for base in range(0, len(passages), PASSAGES):
+        automaton = ahocorasick.Automaton()
+        for k, p in enumerate(passages[base : base + PASSAGES], base):
+            automaton.add_word(p, (k, len(p)))
+        automaton.make_automaton()
+        found = [(k, i, end - size + 1, size) for i, s in enumerate(strings) for end, (k, size) in automaton.iter(s)]
+        hits.append(np.array(found, np.int64).reshape(-1, 4))
+    passage, fragment, offset, size = np.concatenate(hits).T
     doc, start = docs[fragment], starts[fragment] + offset
     order = np.lexsort((start, doc, passage))
     passage, doc, start, size = passage[order], doc[order], start[order], size[order]
