@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm.bpe import bpe_digests
 from palisade.llm.common import documents
+from palisade.llm.jaccard import near_duplicates
 from palisade.llm.mixing import mix
+from palisade.llm.quality_rules import quality
 from palisade.llm.sharding import hilbert_shards
 from palisade.llm.substrings import substring_dedup
 from palisade.llm.suffixes import suffix_dedup
@@ -25,6 +27,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir)).drop("class_distance", "word_distance")
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir), shards=24)
 
@@ -40,6 +50,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_quality_rules": op4_quality_rules,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_bpe": op7_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
