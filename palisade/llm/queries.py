@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.llm.bpe import bpe_digests
 from palisade.llm.common import documents
 from palisade.llm.jaccard import near_duplicates
 from palisade.llm.mixing import mix
+from palisade.llm.neighbours import nearest
+from palisade.llm.passages import quality_scores
 from palisade.llm.quality_rules import quality
+from palisade.llm.quotes import linked_conversations
 from palisade.llm.sharding import hilbert_shards
 from palisade.llm.substrings import substring_dedup
 from palisade.llm.suffixes import suffix_dedup
@@ -35,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).drop("class_distance", "word_distance")
 
 
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir), shards=24)
 
@@ -43,6 +51,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op9_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))
 
@@ -52,8 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quotation_links": op5_quotation_links,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_bpe": op7_bpe,
+    "op8_projection_forest": op8_projection_forest,
+    "op9_passage_attention": op9_passage_attention,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
