@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.llm.hashing import VALUES, grams, mix, prefix, sliding_min, stretches, word_bounds
 
@@ -113,9 +114,10 @@ def _anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         anchor, doc, at = anchor[first], doc[first], at[first]
         new = _groups(anchor)
         hot = _sizes(new) > units.hot_here
-        yield _batch(route=np.where(hot, _spread(doc, at), anchor), kind=np.where(hot, NEEDED_HOT, LONE).astype(np.int8), anchor=anchor, doc=doc, at=at)
+        # the route of a lone one is its anchor, which isn't sent twice
+        yield _batch(route=np.where(hot, _spread(doc, at), anchor), kind=np.where(hot, NEEDED_HOT, LONE).astype(np.int8), anchor=np.where(hot, anchor, 0), doc=doc, at=at)
         marks = hot & new
-        yield _batch(route=anchor[marks], kind=np.full(int(marks.sum()), HOT_MARK, np.int8), anchor=anchor[marks], doc=doc[marks], at=at[marks])
+        yield _batch(route=anchor[marks], kind=np.full(int(marks.sum()), HOT_MARK, np.int8), anchor=np.zeros(int(marks.sum()), np.int64), doc=doc[marks], at=at[marks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -157,8 +159,8 @@ def _recurring(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         x = _joined(iter(lone))
         if not x:
             return
-        order = np.argsort(x["anchor"], kind="stable")
-        kind, anchor, doc, at = (x[c][order] for c in ("kind", "anchor", "doc", "at"))
+        order = np.argsort(x["route"], kind="stable")
+        kind, anchor, doc, at = (x[c][order] for c in ("kind", "route", "doc", "at"))
         group = np.cumsum(_groups(anchor)) - 1
         size = np.bincount(group)
         hot = (np.bincount(group, weights=kind == HOT_MARK) > 0) | (size > units.hot)
@@ -169,9 +171,11 @@ def _recurring(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _contents(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds their contents to the needed fragments of each text."""
+    """Adds their contents to the needed fragments of each text. A content that the task has seen at an earlier
+    position isn't sent again: it is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             keys, docs, ats, sizes, contents = [], [], [], [], []
             for doc, text, found in zip(b.column("doc").to_pylist(), b.column("text"), b.column("found"), strict=True):
@@ -194,10 +198,17 @@ def _contents(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                         for f, m in cuts:
                             last = f + m + units.window - 1
                             cut = raw[f:last] if left is None else b" ".join(raw[i:j] for i, j in zip(left[f:last].tolist(), right[f:last].tolist(), strict=True))
-                            keys.append(g if k == NEEDED else int.from_bytes(hashlib.blake2b(cut, digest_size=8).digest(), "little", signed=True))
-                            ats.append(a >> 40 << 40 | f << 8 | m)
+                            digest = hashlib.blake2b(cut, digest_size=16).digest()
+                            here = (doc, a >> 40 << 40 | f << 8 | m)
+                            seen = places.get(digest, here)
+                            if seen >= here:
+                                if len(places) >= CHUNK:
+                                    places.clear()
+                                places[digest] = here
+                            keys.append(g if k == NEEDED else int.from_bytes(digest[:8], "little", signed=True))
+                            ats.append(here[1])
                             sizes.append(last - f)
-                            contents.append(cut)
+                            contents.append(cut if seen >= here else None)
                 docs += [doc] * (len(ats) - len(docs))
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int32()), pa.array(contents, pa.binary())], ["key", "doc", "at", "size", "content"])
@@ -253,13 +264,17 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], (start[first] >> 32 << 32) + (reach - own)[last]
 
 
-def with_removed(docs: DataFrame, units: Units, resolve: Resolve, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, block: int) -> DataFrame:
-    """finish(doc_id, text, spans) over every row of docs; spans: array of (start, size) with packed starts, or null."""
+def with_removed(docs: DataFrame, units: Units, resolve: Resolve, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, block: int, carry: bool = False) -> DataFrame:
+    """finish(doc, text, spans) over every row of docs; spans: array of (start, size) with packed starts, or null.
+    With carry, also the row's other columns as the struct `row`."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    dealt = slim.repartition(parts, "doc")
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", *others)
+    columns = slim.columns
+    dealt = slim.repartition(parts, "doc")  # both joins below read the same columns of it, hence the same exchange
     found = (
-        slim.mapInArrow(_anchors(units), "route long, kind byte, anchor long, doc long, at long")
+        slim.select("doc", "text")
+        .mapInArrow(_anchors(units), "route long, kind byte, anchor long, doc long, at long")
         .repartition(parts, "route")
         .mapInArrow(_recurring(units), "kind byte, anchor long, doc long, at long")
         .groupBy("doc")
@@ -267,14 +282,14 @@ def with_removed(docs: DataFrame, units: Units, resolve: Resolve, finish: Callab
     )
     spans = (
         dealt.join(found.hint("shuffle_hash"), "doc")
-        .select("doc", "text", "found")
+        .select(*columns, "found")
         .mapInArrow(_contents(units), "key long, doc long, at long, size int, content binary")
         .repartition(parts, "key")
         .mapInArrow(_resolved(resolve, units, block), "doc long, start long, size int")
         .groupBy("doc")
         .agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     )
-    return dealt.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(finish, schema)
+    return dealt.join(spans.hint("shuffle_hash"), "doc", "left").select(*columns, "spans").mapInArrow(finish, schema)
 
 
 def removed_units(raw: bytes, spans: pa.Scalar, n: int) -> np.ndarray:

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palisade.llm.repeats import NO_ID, Units, removed_units, version, with_removed
+from palisade.llm.repeats import NO_ID, Units, removed_units, with_removed
 
 WINDOW, GRAM = 100, 32
 #: Fragments merged at once.
@@ -127,12 +128,9 @@ def deduped_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
                 raw = text.as_buffer().to_pybytes()
                 gone = removed_units(raw, spans, len(raw))
                 out.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
-            seen = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([version(r) for r in seen], pa.int32()), pa.array([t.is_valid for t in b.column("text")]), pa.array(out, pa.string())], ["doc", "version", "real", "cut"])
-
-    cut = with_removed(docs, Units(False, window, gram), _resolve(window), finish, "doc long, version int, real boolean, cut string", SHARD)
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), (F.crc32(F.col("text").cast("binary")).bitwiseAND(0x7FFFFF)).cast("int").alias("version"), F.col("text").isNotNull().alias("real"))
-    cut = cut.withColumn("version", F.when(F.col("real"), F.col("version")).otherwise(0)).groupBy("doc", "version", "real").agg(F.max("cut").alias("cut"))
-    rows = rows.withColumn("version", F.coalesce("version", F.lit(0)))
-    return rows.join(cut, ["doc", "version", "real"]).select(*[F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in names])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "cut"])
+
+    row = T.StructType([f for f in docs.schema.fields if f.name != "text"])
+    schema = T.StructType([T.StructField("row", row), T.StructField("cut", T.StringType())])
+    cut = with_removed(docs, Units(False, window, gram), _resolve(window), finish, schema, SHARD, carry=True)
+    return cut.select(*[F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
