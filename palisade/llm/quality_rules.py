@@ -118,7 +118,8 @@ def judged(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
     rest = lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(a, F.lit(0.0), lambda x, y: x + y))))
     size = F.octet_length("short")
     times = F.transform("common", lambda w: (size - F.octet_length(F.replace(F.col("short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2) / F.col("n_words"))
-    both = found.join(references(found, rules), "lk", "left")
+    # a written table has a size that Spark knows: a small one is broadcast, and no language meets in one task
+    both = found.join(materialize(references(found, rules)), "lk", "left")
     by_class = F.when((F.col("n_chars") >= rules.min_chars) & F.col("class_ref").isNotNull(), distance(F.transform("classes", lambda x: x / F.col("n_chars")), F.col("class_ref")))
     by_word = F.when((F.col("n_words") >= rules.min_words_judged) & (F.size("common") > 0), distance(rest(times), rest(F.col("common_ref"))))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
