@@ -84,13 +84,12 @@ def mix(docs: DataFrame, seed: str = "mix", cycle: int = 3, cap: int = 3, whole:
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: docs with each row repeated as often as the mix takes it (not at all: gone). Documents stay
     whole, and one with no words goes. All columns are kept, whatever their names."""
-    names = docs.columns
-    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     key = F.xxhash64("doc_id", "text", "source")
-    times = mix(packed.select("doc_id", "text", "source"), seed, whole=True, row=key)
-    times = times.filter("taken > 0").groupBy("doc_id", "row").agg(F.sum(F.expr("taken div size")).alias("times"), F.count("*").alias("rows"))
-    # equal rows share one count; rank them to give each its part
-    ranked = packed.withColumn("key", key).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("doc_id")))
-    found = ranked.join(times.withColumnsRenamed({"doc_id": "d", "row": "k"}), (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("key") == F.col("k")))
+    times = mix(docs.select("doc_id", "text", "source"), seed, whole=True, row=key).filter("taken > 0")
+    times = times.groupBy(F.col("row").alias("k")).agg(F.sum(F.expr("taken div size")).alias("times"), F.count("*").alias("rows"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    # equal rows share their times: the first ones get what doesn't divide
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    found = packed.withColumn("nth", nth).join(times, F.col("key") == F.col("k"))
     share = F.expr("times div rows + if(nth <= times % rows, 1, 0)")
-    return found.select("row", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select("row.*")
+    return found.filter(share > 0).select("row", F.explode(F.array_repeat(F.lit(1), share.cast("int"))).alias("copy")).select("row.*")
