@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.plans import queries_decide, queries_packages, queries_tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which artifacts would be blocked or quarantined, and why."""
+    return queries_packages.QUERIES["package_verdicts"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return queries_packages.QUERIES | queries_decide.QUERIES | queries_tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return queries_packages.SQL | queries_decide.SQL | queries_tables.SQL
