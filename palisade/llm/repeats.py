@@ -1,7 +1,8 @@
 """Repeated windows across documents: the distributed frame of the substring and the suffix-array dedup.
 
 A window is a fixed number of units (bytes or words) of one document. The least hash of the short grams inside a window
-is its anchor, a function of the window's content alone; consecutive windows of one anchor make a fragment.
+is its anchor, a function of the window's content alone; consecutive windows with their first least gram at one place
+make a fragment. Equal windows at two places so have one anchor in two fragments, even within one text.
 
 1. `_anchors`, over every whole text: a row (anchor, content hash, position) for each fragment. Each task first drops
    fragments whose content it has seen at an earlier position (their windows are removed at once), so copies meet in
@@ -36,8 +37,6 @@ from palisade.llm.hashing import VALUES, grams, mix, prefix, sliding_min, stretc
 
 #: Fragments that a task holds at once; different fragments of one anchor in these that make it hot; and the same over all.
 CHUNK, HOT_HERE, HOT = 1_000_000, 64, 4096
-#: Windows in a fragment at most; an anchor that doesn't recur in its own text has no more than window - gram + 1.
-LONGEST = 255
 NO_ID = (1 << 63) - 1
 LONE, HOT_MARK, NEEDED_HOT, REMOVE, NEEDED = range(5)
 
@@ -61,15 +60,14 @@ class Units:
     def fragments(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """anchor, content hash, first window, count of windows."""
         p = prefix(self.of(raw)[0])
-        least = sliding_min(grams(p, self.gram), self.window - self.gram + 1)
-        if not len(least):
+        every = grams(p, self.gram)
+        least = sliding_min(every, self.window - self.gram + 1)
+        n = len(least)
+        if not n:
             return least, least, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        count = np.diff(np.append(first, len(least)))
-        if count.max() > LONGEST:
-            pieces = -(-count // LONGEST)
-            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first, count = np.repeat(first, pieces) + nth * LONGEST, np.minimum(np.repeat(count, pieces) - nth * LONGEST, LONGEST)
+        # a fragment ends where another gram is the least, or where the window leaves this one behind
+        first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (every[: n - 1] == least[:-1]))))
+        count = np.diff(np.append(first, n))
         return least[first], stretches(p, first, first + count + self.window - 1) + count.astype(np.uint64), first, count
 
 

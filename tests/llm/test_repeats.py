@@ -54,6 +54,7 @@ def corpus(seed, n=60):
         w = base.split()
         w[rng.randrange(len(w))] = f"edit{i}"
         out.append((2000 + i, " ".join(w)))
+    out += [(4000 + i, " ".join(make(k) * 9)) for i, k in enumerate((1, 2, 3, 5, 7, 11, 19, 20, 21, 40))] + [(4100 + i, "abc é"[:k] * 60) for i, k in enumerate((1, 2, 3, 5))]
     out += [(5000, "und " * 300), (5001, "und " * 90 + "x"), (5002, "ab" * 400), (6000, None), (6001, ""), (6002, " "), (None, base), (None, None), (1000, base), (3, "other " + base), (7000, " ".join(make(3000)) + base)]
     rng.shuffle(out)
     return out
