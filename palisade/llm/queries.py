@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm import oracles
 from palisade.llm.bpe import bpe_digests
 from palisade.llm.common import documents
 from palisade.llm.jaccard import near_duplicates
@@ -77,6 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op3_ngram_jaccard": oracles.JACCARD,
+    "op4_quality_rules": oracles.QUALITY,
+    "op5_quotation_links": oracles.QUOTES,
+    "op10_suffix_dedup": oracles.SUFFIXES,
     "op1_mixing": r"""
         WITH d AS (
             SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
