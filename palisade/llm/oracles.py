@@ -69,7 +69,7 @@ broken AS (SELECT *, CASE WHEN lag(level) OVER p IS NULL OR lag(words) OVER p =
 blocked AS (SELECT *, sum(starts) OVER (PARTITION BY ck, turn, mid ORDER BY n) AS block FROM broken),
 passages AS (SELECT ck, turn, mid, block, level, lower(string_agg(words, ' ' ORDER BY n)) AS words FROM blocked WHERE words <> '' GROUP BY ALL),
 originals AS (SELECT ck, turn, mid, words FROM passages WHERE level = 0 UNION SELECT ck, turn, mid, string_agg(words, ' ' ORDER BY block) FROM passages WHERE level = 0 GROUP BY ck, turn, mid),
-linked AS (SELECT q.ck, q.turn, q.mid, q.level, q.block, max(struct_pack(turn := o.turn, mid := o.mid)) AS source FROM passages q LEFT JOIN originals o ON o.ck = q.ck AND o.words = q.words AND o.turn < q.turn WHERE q.level > 0 GROUP BY q.ck, q.turn, q.mid, q.level, q.block),
+linked AS (SELECT q.ck, q.turn, q.mid, q.level, q.block, max(struct_pack(turn := o.turn, mid := o.mid)) FILTER (o.turn IS NOT NULL) AS source FROM passages q LEFT JOIN originals o ON o.ck = q.ck AND o.words = q.words AND o.turn < q.turn WHERE q.level > 0 GROUP BY q.ck, q.turn, q.mid, q.level, q.block),
 per AS (SELECT ck, turn, mid, count(*) AS n_quotes, count(source) AS n_linked, arg_min(source, struct_pack(a := level, b := block)) FILTER (source IS NOT NULL) AS parent FROM linked GROUP BY ALL),
 path AS (SELECT m.ck, m.turn, m.mid, [struct_pack(turn := m.turn, mid := m.mid)] AS path FROM m LEFT JOIN per USING (ck, turn, mid) WHERE parent IS NULL
   UNION ALL SELECT per.ck, per.turn, per.mid, list_append(path, struct_pack(turn := per.turn, mid := per.mid)) FROM path JOIN per ON per.ck = path.ck AND per.parent.turn = path.turn AND per.parent.mid = path.mid)
