@@ -106,7 +106,7 @@ def hardcoded_public_endpoint(text: Column) -> Column:
 
 
 def _octets(address: Column) -> list[Column]:
-    return [F.split(address, r"\.")[i].cast("int") for i in range(4)]
+    return [F.get(F.split(address, r"\."), F.lit(i)).try_cast("int") for i in range(4)]
 
 
 def is_public_ip(address: Column) -> Column:
