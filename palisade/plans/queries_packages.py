@@ -134,13 +134,16 @@ ENTRIES = [
 ]
 _PICK = f"event_id * 13 % {len(ENTRIES) * 3}"  # two of three events are none of these
 
+#: Events of one install: a third of the users share a big one, the others' are small.
+_INSTALL = "CASE WHEN user_id % 3 = 0 THEN 'all' ELSE concat(user_id, '-', event_id % 12) END"
+
 
 def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trace as JSON for each user; the event's kind is its phase."""
+    """A trace as JSON for each install; the event's kind is its phase."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("pick", F.expr(_PICK).cast("int")).filter(F.col("pick") < len(ENTRIES))
     table = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v, _, _ in ENTRIES])
     phase = F.expr("CASE event_type WHEN 'signup' THEN 'install' WHEN 'click' THEN 'import' ELSE 'execute' END")
-    rows = e.select(F.col("user_id").cast("string").alias("digest"), "event_id", phase.alias("phase"), F.get(table, F.col("pick")).alias("x")).select("digest", "event_id", "phase", "x.*")
+    rows = e.select(F.expr(_INSTALL).alias("digest"), "event_id", phase.alias("phase"), F.get(table, F.col("pick")).alias("x")).select("digest", "event_id", "phase", "x.*")
     v, k = F.col("value"), F.col("kind")
     host = F.substring_index(v, ":", 1)
     item = lambda kinds, s: F.transform(F.sort_array(F.collect_list(F.when(k.isin(kinds), F.struct("event_id", s.alias("s"))))), lambda x: x["s"])
@@ -155,7 +158,7 @@ def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRACE = f"""
 WITH entries(i, kind, value, rule, severity) AS (VALUES {", ".join(f"({i}, {_lit(k)}, {_lit(v)}, {_lit(r) if r else 'NULL'}, {_lit(s) if s else 'NULL'})" for i, (k, v, r, s) in enumerate(ENTRIES))}),
-e AS (SELECT CAST(user_id AS VARCHAR) AS digest, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS phase, kind, entries.value AS value, rule, severity FROM events JOIN entries ON i = {_PICK}),
+e AS (SELECT {_INSTALL} AS digest, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS phase, kind, entries.value AS value, rule, severity FROM events JOIN entries ON i = {_PICK}),
 dropped AS (SELECT digest, min(phase) AS phase FROM e WHERE kind = 'write' AND value = '/tmp/stage.sh' GROUP BY digest),
 traced AS (SELECT digest, rule, severity FROM e WHERE rule IS NOT NULL
   UNION ALL SELECT e.digest, 'download-and-execute', 'critical' FROM e JOIN dropped d ON d.digest = e.digest AND d.phase <= e.phase WHERE kind = 'command' AND value = 'sh|/tmp/stage.sh'
