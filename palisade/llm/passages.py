@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from palisade.llm.hashing import mix, word_bounds, word_hashes
 
 PASSAGE, PAIRS, HIDDEN, ATTENTION = 64, 48, 24, 12
-ROWS_A_LABEL, BAG, EPOCHS, SEED = 1500, 64, 30, 3
+ROWS_A_LABEL, BAG, EPOCHS, SEED = 4000, 64, 30, 3
 
 _KIND = np.full(256, 5)  # lower, upper, digit, mark, sign, other (bytes of other scripts)
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
