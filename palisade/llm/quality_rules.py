@@ -48,9 +48,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def window_hashes(w: Column, window: int) -> Column:
+    """Hash of each window of the words w, of which there are enough: hashes of pairs, of pairs of pairs and so on."""
+
+    def joined(h: Column, shift: int) -> Column:
+        n = lambda x: F.size(x) - shift
+        return let(h, lambda x: F.zip_with(F.slice(x, 1, n(x)), F.slice(x, shift + 1, n(x)), lambda a, b: F.xxhash64(a, b)))
+
+    h, size = F.transform(w, lambda x: F.xxhash64(x)), 1
+    while size * 2 <= window:
+        h, size = joined(h, size), size * 2
+    return joined(h, window - size) if size < window else h
+
+
 def repeated_words(w: Column, window: int) -> Column:
     """Words covered by windows that occur twice or more among the words w."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(F.slice(w, i + 1, window)))
+    hashes = window_hashes(w, window)
 
     def covered(h: Column) -> Column:
         ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
