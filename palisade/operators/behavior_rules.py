@@ -12,33 +12,38 @@ from pyspark.sql import functions as F
 from palisade.functions import fixed
 from palisade.functions import scalars as S
 from palisade.functions.paths import base_name, is_package_churn
+from palisade.sources.scratch import cut
 
 #: Room for the findings of one kind in one phase, and of one phase.
 PER_KIND, PER_PHASE = 10**7, 10**9
 PHASES = ["install", "import", "execute"]
 
 
-def phases(traces: DataFrame) -> DataFrame:
-    """digest, ecosystem, phase, phase_ord, p."""
-    rows = traces.select("digest", "ecosystem", F.explode("trace.Analysis").alias("phase", "p"))
-    known = F.array_position(F.array(*[F.lit(x) for x in PHASES]), F.col("phase"))
-    return rows.withColumn("phase_ord", F.when(known > 0, known).otherwise(len(PHASES) + 1).cast("int"))
-
+#: One row of behaviour, whatever its kind.
+EVENT = "kind string, pos long, path string, read boolean, write boolean, delete boolean, address string, port int, hostnames array<string>, command array<string>, host string"
 
-def events(traces: DataFrame, kind: str) -> DataFrame:
-    """One row for each entry of a kind (Files, Sockets, Commands, DNS), with its place in the trace."""
-    rows = phases(traces).select("digest", "ecosystem", "phase", "phase_ord", F.posexplode(f"p.{kind}").alias("pos", "e"))
-    return rows.select("digest", "ecosystem", "phase", "phase_ord", "pos", "e.*")
 
+def events(traces: DataFrame) -> DataFrame:
+    """All entries of the traces in one pass: digest, ecosystem, phase, phase_ord and the columns of EVENT."""
+    fields = [c.split(" ") for c in EVENT.split(", ")]
 
-def file_events(traces: DataFrame) -> DataFrame:
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c.lower())
-    return events(traces, "Files").select("digest", "phase", "phase_ord", "pos", F.col("Path").alias("path"), flag("Read"), flag("Write"), flag("Delete"))
+    def row(kind: str, pos: Column, **known: Column) -> Column:
+        known |= {"kind": F.lit(kind), "pos": pos.cast("long")}
+        return F.struct(*[(known[n] if n in known else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
-
-def queries(traces: DataFrame) -> DataFrame:
-    rows = events(traces, "DNS").select("digest", "ecosystem", "phase", "phase_ord", "pos", F.posexplode("Queries").alias("q_pos", "q"))
-    return rows.select("digest", "ecosystem", "phase", "phase_ord", (F.col("pos") * 10_000 + F.col("q_pos")).alias("pos"), F.col("q.Hostname").alias("host"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    each = lambda name, f: F.coalesce(F.transform(F.col("p")[name], f), F.array())
+    asked = lambda d, i: F.transform(d["Queries"], lambda q, j: row("dns", i * 10_000 + j, host=q["Hostname"]))
+    rows = F.concat(
+        each("Files", lambda f, i: row("file", i, path=f["Path"], read=flag(f["Read"]), write=flag(f["Write"]), delete=flag(f["Delete"]))),
+        each("Sockets", lambda s, i: row("socket", i, address=s["Address"], port=s["Port"], hostnames=s["Hostnames"])),
+        each("Commands", lambda c, i: row("command", i, command=c["Command"])),
+        F.flatten(F.coalesce(F.filter(F.transform(F.col("p.DNS"), asked), lambda x: x.isNotNull()), F.array())),
+    )
+    known = F.array_position(F.array(*[F.lit(x) for x in PHASES]), F.col("phase"))
+    order = F.when(known > 0, known).otherwise(len(PHASES) + 1).cast("int")
+    opened = traces.select("digest", "ecosystem", F.explode("trace.Analysis").alias("phase", "p"))
+    return opened.select("digest", "ecosystem", "phase", order.alias("phase_ord"), F.explode(rows).alias("e")).select("digest", "ecosystem", "phase", "phase_ord", "e.*")
 
 
 def _place(kind: int) -> Column:
@@ -70,14 +75,14 @@ def write_findings(files: DataFrame) -> DataFrame:
 
 
 def command_findings(commands: DataFrame) -> DataFrame:
-    rows = commands.withColumn("c", S.classify_command(F.col("Command"))).filter("c IS NOT NULL")
-    return _told(rows, F.col("c.rule"), F.col("c.severity"), during(F.col("c.description")), F.array_join("Command", " "), _place(1))
+    rows = commands.withColumn("c", S.classify_command(F.col("command"))).filter("c IS NOT NULL")
+    return _told(rows, F.col("c.rule"), F.col("c.severity"), during(F.col("c.description")), F.array_join("command", " "), _place(1))
 
 
 def drop_and_execute(files: DataFrame, commands: DataFrame) -> DataFrame:
     """Commands that name, by its path, a file dropped in the same or an earlier phase: one finding a command."""
     dropped = files.filter(F.col("write") & S.is_dropped_payload(F.col("path"))).groupBy("digest", base_name(F.col("path")).alias("name")).agg(F.min("phase_ord").alias("since"))
-    words = commands.select("digest", "phase", "phase_ord", "pos", F.posexplode("Command").alias("at", "word")).filter(F.col("word").contains("/"))
+    words = commands.select("digest", "phase", "phase_ord", "pos", F.posexplode("command").alias("at", "word")).filter(F.col("word").contains("/"))
     hits = words.withColumn("name", base_name(F.col("word"))).join(dropped, ["digest", "name"]).filter("since <= phase_ord")
     first = hits.groupBy("digest", "phase", "phase_ord", "pos").agg(F.min_by("word", "at").alias("word"))
     return _fixed(first, "dropped", F.col("phase"), F.col("word"), _place(2))
@@ -85,8 +90,8 @@ def drop_and_execute(files: DataFrame, commands: DataFrame) -> DataFrame:
 
 def socket_findings(sockets: DataFrame) -> DataFrame:
     """Metadata endpoint, then mining port, then an address no name stands behind; the first that holds."""
-    address, port = F.col("Address"), F.col("Port")
-    kind = F.when(S.is_metadata_endpoint(address), "metadata").when(S.is_mining_port(port), "mining").when(S.connects_hardcoded_ip(address, F.col("Hostnames")), "address")
+    address, port = F.col("address"), F.col("port")
+    kind = F.when(S.is_metadata_endpoint(address), "metadata").when(S.is_mining_port(port), "mining").when(S.connects_hardcoded_ip(address, F.col("hostnames")), "address")
     rows = sockets.withColumn("kind", kind)
     with_port = F.format_string("%s:%s", address, F.coalesce(port, F.lit(0)).cast("string"))
     parts = [_fixed(rows.filter(F.col("kind") == k), k, F.col("phase"), address if k == "metadata" else with_port, _place(3)) for k in ("metadata", "mining", "address")]
@@ -111,7 +116,7 @@ def destruction(files: DataFrame, least: int = fixed.DESTRUCTION_DELETES) -> Dat
 
 
 def recon_burst(commands: DataFrame, least: int = fixed.RECON_TOOLS) -> DataFrame:
-    tools = commands.select("digest", S.recon_tool(F.col("Command")).alias("tool")).groupBy("digest").agg(F.count_distinct("tool").alias("n")).filter(F.col("n") >= least)
+    tools = commands.select("digest", S.recon_tool(F.col("command")).alias("tool")).groupBy("digest").agg(F.count_distinct("tool").alias("n")).filter(F.col("n") >= least)
     return _fixed(tools, "recon", F.col("n"), F.lit(None).cast("string"), F.lit(_LATE + 1).cast("long"))
 
 
@@ -129,15 +134,17 @@ def exfil_chain(files: DataFrame, sockets: DataFrame, asked: DataFrame) -> DataF
     """A credential was read and an unknown place was reached, in any order. Two flags in one aggregate."""
     c = S.classify_read(F.col("path"))
     secret = files.filter("read").select("digest", c.alias("c")).filter((F.col("c.severity").isin("high", "critical")) | F.col("c.class").isin("npm-token", "netrc")).select("digest", F.lit(1).alias("secret"), F.lit(0).alias("out"))
-    reached = sockets.filter(S.is_metadata_endpoint(F.col("Address")) | S.connects_hardcoded_ip(F.col("Address"), F.col("Hostnames"))).select("digest")
+    reached = sockets.filter(S.is_metadata_endpoint(F.col("address")) | S.connects_hardcoded_ip(F.col("address"), F.col("hostnames"))).select("digest")
     reached = reached.unionByName(asked.filter(S.is_unknown_domain(F.col("ecosystem"), F.col("host"))).select("digest"))
     both = secret.unionByName(reached.select("digest", F.lit(0).alias("secret"), F.lit(1).alias("out"))).groupBy("digest").agg(F.max("secret").alias("secret"), F.max("out").alias("out")).filter("secret + out = 2")
     return _fixed(both, "chain", None, F.lit(None).cast("string"), F.lit(_LATE + 3).cast("long"))
 
 
 def behavior_findings(traces: DataFrame) -> DataFrame:
-    """All behaviour findings of the traces; those without an analysis have none."""
-    files, commands, sockets, asked = file_events(traces), events(traces, "Commands"), events(traces, "Sockets"), queries(traces)
+    """All behaviour findings of the traces; those without an analysis have none. Traces are read once, into a table of
+    events that the rules look at, each at its own kind and columns."""
+    all_ = cut(events(traces))
+    files, commands, sockets, asked = (all_.filter(F.col("kind") == k) for k in ("file", "command", "socket", "dns"))
     parts = [read_findings(files), write_findings(files), command_findings(commands), drop_and_execute(files, commands), socket_findings(sockets), domain_findings(asked), destruction(files), recon_burst(commands), dns_exfil(asked), exfil_chain(files, sockets, asked)]
     out = parts[0]
     for p in parts[1:]:

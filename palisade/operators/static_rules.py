@@ -1,13 +1,14 @@
 """Findings from the contents of packages.
 
 files: digest, ecosystem, file_idx, path, content. Findings: digest, stage, rule, severity, description, evidence, ord.
-Every rule is a column over one scan of the files; a rule's family reports its first file in archive order only, which
-is an aggregate with partial sums, so an artifact's files never meet in one place.
+Every rule is a column over one scan of the files, and contents are never shuffled: what depends on the artifact's
+hooks is found as a candidate and settled on the slim rows of what was found, as is a family's first file in archive
+order, which alone reports. An artifact's findings are bounded by its files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed
@@ -36,16 +37,19 @@ def npm_hooks(files: DataFrame) -> DataFrame:
 
 
 def hook_targets(hooks: DataFrame) -> DataFrame:
-    """digest, targets: base names of the scripts that hooks run."""
-    names = F.explode(F.transform(all_matches(F.col("command"), fixed.SCRIPT_FILE), base_name))
-    return hooks.select("digest", names.alias("target")).groupBy("digest").agg(F.collect_set("target").alias("targets"))
+    """digest, target: base names of the scripts that hooks run."""
+    return hooks.select("digest", F.explode(F.transform(all_matches(F.col("command"), fixed.SCRIPT_FILE), base_name)).alias("target"))
 
 
-def finding(key: str, evidence: Column, n: int, family: str = "", name: Column | None = None) -> Column:
+#: Gates of a candidate: it counts always, only in files that a hook runs, only in others.
+ALWAYS, IN_HOOKS, ELSEWHERE = 0, 1, -1
+
+
+def finding(key: str, evidence: Column, n: int, family: str = "", name: Column | None = None, gate: int = ALWAYS) -> Column:
     """A struct of the rule's fixed values. n: order among the rules of one file."""
     rule, severity, description = fixed.CONTENT_RULES[key]
     told = F.lit(description) if name is None else F.format_string(description.replace("{}", "%s"), name)
-    return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), told.alias("description"), evidence.alias("evidence"), F.lit(n).alias("n"), F.lit(family or rule).alias("family"))
+    return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), told.alias("description"), evidence.alias("evidence"), F.lit(n).alias("n"), F.lit(family or rule).alias("family"), F.lit(gate).alias("gate"))
 
 
 def hook_findings(hooks: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def content_rules(t: Column) -> list[Column]:
     """A finding or null for each family of content rules, given the columns that `scanned` makes."""
     path, at = F.col("path"), lambda found: F.concat(F.col("path"), F.lit(": "), found)
     code, data, bundle, mini = ~F.col("test_doc"), F.col("data_config"), F.col("bundle"), F.col("minified")
-    source, runs = code & ~data, F.col("hooked") | F.col("setup")
+    source, setup = code & ~data, F.col("setup")
     has = lambda *patterns: [matches(t, p) for p in patterns]
     aws = first_match(t, fixed.AWS_KEY)
     secret = (
@@ -87,9 +91,11 @@ def content_rules(t: Column) -> list[Column]:
     idiom = first_match(t, fixed.REV_SHELL_IDIOM)
     shell = F.when(idiom != "", finding("shell-idiom", at(idiom), 4)).when(connect & bind & target, finding("shell-wired", at(first_match(t, fixed.REV_SHELL_TARGET)), 4))
     stratum, miner, config = has(fixed.STRATUM, fixed.MINER_BINARY, fixed.MINER_CONFIG)
-    in_source = source & ~F.col("build") & ~bundle & ~mini & (base_name(path) != "package.json") & ~F.col("setup")
+    in_source = source & ~F.col("build") & ~bundle & ~mini & (base_name(path) != "package.json") & ~setup
     env = at(first_match(t, fixed.BULK_ENV))
-    install = runs & code & ~bundle
+    sends, quiet = code & matches(t, fixed.ENV_EXFIL_SEND), code & ~bundle
+    recon = quiet & (S.host_recon_exfil(t) | S.shell_recon_exfil(t))
+    fetched = quiet & F.col("fetched").isNotNull()
     return [
         F.when(source & matches(t, fixed.DYN_EXEC_DECODED), finding("exec-decoded", at(first_match(t, fixed.DYN_EXEC_DECODED)), 0)),
         F.when(code & F.col("endpoint").isNotNull(), finding("endpoint", at(F.col("endpoint")), 1)),
@@ -98,38 +104,39 @@ def content_rules(t: Column) -> list[Column]:
         F.when(source & ~bundle & ~mini, shell),
         F.when(stratum | (code & miner & config), finding("miner", path, 5)),
         F.when(in_source & matches(t, fixed.DESTRUCTIVE), finding("wiper", at(first_match(t, fixed.DESTRUCTIVE)), 6)),
-        F.when(code & matches(t, fixed.ENV_EXFIL_SEND), F.when(runs, finding("env-exfil-install", env, 7)).otherwise(finding("env-exfil", env, 7))),
-        F.when(install & (S.host_recon_exfil(t) | S.shell_recon_exfil(t)), finding("recon", path, 8)),
-        F.when(install & F.col("fetched").isNotNull(), finding("fetch", at(F.col("fetched")), 9)),
+        F.when(sends, F.when(setup, finding("env-exfil-install", env, 7)).otherwise(finding("env-exfil-install", env, 7, gate=IN_HOOKS))),
+        F.when(sends & ~setup, finding("env-exfil", env, 7, gate=ELSEWHERE)),
+        F.when(recon, F.when(setup, finding("recon", path, 8)).otherwise(finding("recon", path, 8, gate=IN_HOOKS))),
+        F.when(fetched, F.when(setup, finding("fetch", at(F.col("fetched")), 9)).otherwise(finding("fetch", at(F.col("fetched")), 9, gate=IN_HOOKS))),
         F.when(source & matches(t, fixed.WEBHOOK), finding("webhook", at(first_match(t, fixed.WEBHOOK)), 10)),
         F.when(F.col("hex_obfuscated"), finding("obfuscated-js", path, 11)).when(F.col("py_obfuscated"), finding("obfuscated-py", path, 11)),
         F.when(S.looks_obfuscated(t), finding("blob", path, 12)),
     ]
 
 
-def scanned(files: DataFrame, targets: DataFrame) -> DataFrame:
+def scanned(files: DataFrame) -> DataFrame:
     """The files that rules look at, with their text, kind of path and costly values."""
-    path = F.col("path")
+    path, t = F.col("path"), F.col("text")
     live = files.filter(~is_sbom(path) & ~is_package_metadata(path)).filter(~S.is_binary(F.col("content")))
-    t = F.col("text")
-    flagged = (
-        live.withColumn("text", S.as_text(F.col("content"))).drop("content").withColumn("test_doc", is_test_or_doc(path)).withColumn("data_config", is_data_config(path)).withColumn("bundle", is_vendored_bundle(path))
-        .withColumn("build", is_build_tooling(path)).withColumn("setup", is_setup_file(path)).withColumn("minified", S.is_minified(t))
-        .join(targets, "digest", "left").withColumn("hooked", F.coalesce(F.array_contains("targets", base_name(path)), F.lit(False))).drop("targets")
-    )
-    costly = flagged.withColumn("endpoint", S.hardcoded_public_endpoint(F.when(~F.col("test_doc"), t)))
-    return costly.withColumn("encoded", F.when(~F.col("test_doc"), S.decoded_network_indicator(t))).withColumn("fetched", F.when(F.col("hooked") | F.col("setup"), S.external_install_fetch(t))).withColumn("hex_obfuscated", S.hex_obfuscated(t)).withColumn("py_obfuscated", S.py_obfuscated(t))
+    kinds = {"test_doc": is_test_or_doc, "data_config": is_data_config, "bundle": is_vendored_bundle, "build": is_build_tooling, "setup": is_setup_file}
+    flagged = live.withColumn("text", S.as_text(F.col("content"))).drop("content").withColumns({k: f(path) for k, f in kinds.items()}).withColumn("minified", S.is_minified(t))
+    code = F.when(~F.col("test_doc"), t)
+    costly = {"endpoint": S.hardcoded_public_endpoint(code), "encoded": S.decoded_network_indicator(code), "fetched": S.external_install_fetch(F.when(~F.col("bundle"), code)), "hex_obfuscated": S.hex_obfuscated(t), "py_obfuscated": S.py_obfuscated(t)}
+    return flagged.withColumns(costly)
 
 
 def content_findings(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets: digest, target."""
     rules = F.filter(F.array(*content_rules(F.col("text"))), lambda x: x.isNotNull())
-    hits = scanned(files, targets).select("digest", "file_idx", F.explode(rules).alias("f"))
+    hits = scanned(files).select("digest", "file_idx", base_name(F.col("path")).alias("target"), F.explode(rules).alias("f"))
+    hooked = targets.select("digest", "target").distinct().withColumn("hooked", F.lit(IN_HOOKS))
+    settled = hits.join(hooked, ["digest", "target"], "left").filter((F.col("f.gate") == ALWAYS) | (F.col("f.gate") == F.coalesce("hooked", F.lit(ELSEWHERE))))
     blob = F.col("f.family") == "obfuscated-blob"
-    first = hits.filter(~blob).groupBy("digest", "f.family").agg(F.min_by(F.struct("file_idx", "f"), "file_idx").alias("x")).select("digest", "x.file_idx", "x.f")
-    # blobs are told for every file but the one that is told as obfuscated code
-    told = first.filter(F.col("f.family") == "obfuscated-code").select("digest", "file_idx")
-    blobs = hits.filter(blob).join(told, ["digest", "file_idx"], "left_anti")
-    return first.unionByName(blobs).select("digest", F.lit("static").alias("stage"), "f.rule", "f.severity", "f.description", "f.evidence", (F.col("file_idx") * PER_FILE + F.col("f.n")).cast("long").alias("ord"))
+    # blobs are told for every file but the one that is told as obfuscated code, all others for the first file
+    told = F.min(F.when(F.col("f.family") == "obfuscated-code", F.col("file_idx"))).over(Window.partitionBy("digest"))
+    nth = F.row_number().over(Window.partitionBy("digest", "f.family").orderBy("file_idx"))
+    out = settled.withColumn("told", told).withColumn("nth", nth).filter((~blob & (F.col("nth") == 1)) | (blob & ~F.col("file_idx").eqNullSafe(F.col("told"))))
+    return out.select("digest", F.lit("static").alias("stage"), "f.rule", "f.severity", "f.description", "f.evidence", (F.col("file_idx") * PER_FILE + F.col("f.n")).cast("long").alias("ord"))
 
 
 def static_findings(files: DataFrame) -> DataFrame:

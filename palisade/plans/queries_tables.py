@@ -15,6 +15,7 @@ from palisade.operators.triage import RuleModel
 from palisade.operators.versions import append_history, file_changes, previous_good
 from palisade.plans import splits
 from palisade.sources import sinks, tables
+from palisade.sources.scratch import shared_dir
 from palisade.streaming import admission
 
 QUERIES = {}
@@ -333,8 +334,7 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into a table in the shared folder, and read it."""
     spark = stream.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{named.rstrip('/')}/palisade-{name}-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/palisade-{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 

@@ -1,4 +1,7 @@
-"""Façades: findings and verdicts of artifacts, offline and at the gate."""
+"""Façades: findings and verdicts of artifacts, offline and at the gate.
+
+A verdict looks at its findings several times, so they are extracted once into a table.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from palisade.operators.static_rules import static_findings
 from palisade.operators.triage import Model, excerpts, triage_findings
 from palisade.operators.versions import diff_findings, previous_good
 from palisade.sources.packages import files_of, unpack_findings
+from palisade.sources.scratch import cut
 
 
 def signals(files: DataFrame, traces: DataFrame | None = None) -> DataFrame:
@@ -21,7 +25,7 @@ def signals(files: DataFrame, traces: DataFrame | None = None) -> DataFrame:
 
 def score(artifacts: DataFrame, files: DataFrame, traces: DataFrame | None, rules: DataFrame) -> DataFrame:
     """Verdicts from contents and behaviour."""
-    return verdicts(artifacts, signals(files, traces), rules, "scorer")
+    return verdicts(artifacts, cut(signals(files, traces)), rules, "scorer")
 
 
 def evidence(artifacts: DataFrame, files: DataFrame, logs: DataFrame) -> DataFrame:
@@ -30,8 +34,8 @@ def evidence(artifacts: DataFrame, files: DataFrame, logs: DataFrame) -> DataFra
 
 
 def score_with_model(artifacts: DataFrame, files: DataFrame, traces: DataFrame | None, logs: DataFrame, model: Model, rules: DataFrame) -> DataFrame:
-    found = signals(files, traces)
-    judged = triage_findings(model, evidence(artifacts, files, logs), found, rules)
+    found = cut(signals(files, traces))
+    judged = cut(triage_findings(model, evidence(artifacts, files, logs), found, rules))
     return verdicts(artifacts, found.unionByName(judged), rules, "scorer+triage")
 
 
@@ -51,9 +55,9 @@ def admit(artifacts: DataFrame, rows: DataFrame, history: DataFrame, rules: Data
         found = found.unionByName(advisory_findings(artifacts, advisories))
     if answered is not None:
         found = found.unionByName(unavailable_findings(artifacts, answered))
-    engine = "static-pipeline"
+    engine, found = "static-pipeline", cut(found)
     if model is not None:
         logs = artifacts.selectExpr("digest", "cast(null as binary) behavior_log").distinct()
-        found = found.unionByName(triage_findings(model, evidence(artifacts, files, logs), found, rules))
+        found = found.unionByName(cut(triage_findings(model, evidence(artifacts, files, logs), found, rules)))
         engine = "static+triage-pipeline"
     return verdicts(artifacts, found, rules, engine)

@@ -5,13 +5,11 @@ pool: ecosystem, name, first_seen (a date).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.scalars import campaign_prefix
+from palisade.sources.scratch import cut
 
 BULK_DAY, PREFIX_TOKENS, PREFIX_GROUP = 10, 2, 3
 KEY = ["ecosystem", "name"]
@@ -31,18 +29,6 @@ def prefix_groups(pool: DataFrame, least: int = PREFIX_GROUP) -> DataFrame:
     return keyed.groupBy("ecosystem", "prefix").agg(F.count("*").alias("n"), F.min("name").alias("head")).filter(F.col("n") >= least)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the folder that all executors share."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/palisade-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def campaigns(pool: DataFrame, bulk: int = BULK_DAY, group: int = PREFIX_GROUP) -> DataFrame:
     """ecosystem, name, campaign_id: packages of one bulk day or one name family belong together, and so on through
     both; the id is the least name of the component.
@@ -57,13 +43,13 @@ def campaigns(pool: DataFrame, bulk: int = BULK_DAY, group: int = PREFIX_GROUP)
         .withColumn("family", campaign_prefix(F.col("name"), PREFIX_TOKENS)).join(family.withColumn("known", F.lit(True)), ["ecosystem", "family"], "left")
         .select(*KEY, "day", F.when(F.col("known"), F.col("family")).alias("family"), F.col("name").alias("label"))
     )
-    now = _cut(now)
+    now = cut(now)
     while True:
         by_day = now.filter("day IS NOT NULL").groupBy("ecosystem", "day").agg(F.min("label").alias("d"))
         by_family = now.filter("family IS NOT NULL").groupBy("ecosystem", "family").agg(F.min("label").alias("f"))
         by_name = now.groupBy(*KEY).agg(F.min("label").alias("s"))
         new = now.join(by_day, ["ecosystem", "day"], "left").join(by_family, ["ecosystem", "family"], "left").join(by_name, KEY)
-        new = _cut(new.select(*KEY, "day", "family", F.least("label", "d", "f", "s").alias("next"), "label"))
+        new = cut(new.select(*KEY, "day", "family", F.least("label", "d", "f", "s").alias("next"), "label"))
         changed = not new.filter("next <> label").isEmpty()
         now = new.select(*KEY, "day", "family", F.col("next").alias("label"))
         if not changed:
