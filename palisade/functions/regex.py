@@ -7,14 +7,18 @@ end, a dot stops at newlines only.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+#: A word boundary before a word character, and one after. In our patterns every boundary touches one.
+_BEFORE, _AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 _BLANK = r"\t\n\f\r "
-_ALL = r"\x00-\x{10FFFF}"
+
+
+_WORD_NEXT = re.compile(r"(?:\((?:\?:)?)*(?:\w|\\[dw])")
 
 
 @cache
@@ -29,8 +33,10 @@ def jvm(pattern: str) -> str:
                 out.append(_BLANK)
             elif inside and pair == r"\S":
                 out.append(r"\x00-\x08\x0B\x0E-\x1F!-\x{10FFFF}")
+            elif pair == r"\b" and not inside:
+                out.append(_BEFORE if _WORD_NEXT.match(pattern, i + 2) else _AFTER)
             else:
-                out.append({r"\b": _BOUNDARY, r"\s": f"[{_BLANK}]", r"\S": f"[^{_BLANK}]"}.get(pair, pair))
+                out.append({r"\s": f"[{_BLANK}]", r"\S": f"[^{_BLANK}]"}.get(pair, pair))
             i += 2
             continue
         if c == "[" and not inside:

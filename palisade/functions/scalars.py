@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions import fixed
+from palisade.functions.needles import found, likely
 from palisade.functions.paths import any_of, contains_any, ends_any, is_home_scoped, is_package_churn
 from palisade.functions.regex import all_matches, matches
 
@@ -245,38 +246,38 @@ def _first(rules: list[tuple], *names: str) -> Column:
     return out
 
 
-def hex_obfuscated(text: Column) -> Column:
+def hex_obfuscated(text: Column, low: Column) -> Column:
     """Of the first 200 hexadecimal identifiers at least 8, and 5 different ones."""
-    found = all_matches(text, fixed.HEX_IDENTIFIER, most=200)
-    return (F.size(found) >= 8) & (F.size(F.array_distinct(found)) >= 5)
+    names = all_matches(text, fixed.HEX_IDENTIFIER, most=200)
+    return likely(low, fixed.HEX_IDENTIFIER) & (F.size(names) >= 8) & (F.size(F.array_distinct(names)) >= 5)
 
 
-def host_recon_exfil(text: Column) -> Column:
-    found = F.transform(all_matches(text, fixed.HOST_RECON, most=50), F.lower)
-    return matches(text, fixed.NET_PRIMITIVE) & (F.size(F.array_distinct(found)) >= 2)
+def host_recon_exfil(text: Column, low: Column) -> Column:
+    calls = F.transform(all_matches(text, fixed.HOST_RECON, most=50), F.lower)
+    return likely(low, fixed.HOST_RECON) & found(text, low, fixed.NET_PRIMITIVE) & (F.size(F.array_distinct(calls)) >= 2)
 
 
-def shell_recon_exfil(text: Column) -> Column:
-    return matches(text, fixed.SHELL_RECON_EXFIL)
+def shell_recon_exfil(text: Column, low: Column) -> Column:
+    return found(text, low, fixed.SHELL_RECON_EXFIL)
 
 
-def py_obfuscated(text: Column) -> Column:
+def py_obfuscated(text: Column, low: Column) -> Column:
     """eval of an escaped literal; or 40 escapes, over a quarter of the text, beside dynamic execution."""
-    found = all_matches(text, fixed.ESCAPE_SEQUENCE, most=4000)
-    escaped = F.char_length(F.array_join(found, ""))
-    dense = (F.size(found) >= 40) & matches(text, fixed.PY_DYN_EXEC) & (escaped / (F.char_length(text) + 1) > 0.25)
-    return matches(text, fixed.PY_ESCAPED_EVAL) | dense
+    escapes = all_matches(text, fixed.ESCAPE_SEQUENCE, most=4000)
+    escaped = F.char_length(F.array_join(escapes, ""))
+    dense = (F.size(escapes) >= 40) & matches(text, fixed.PY_DYN_EXEC) & (escaped / (F.char_length(text) + 1) > 0.25)
+    return found(text, low, fixed.PY_ESCAPED_EVAL) | (likely(low, fixed.ESCAPE_SEQUENCE) & dense)
 
 
-def external_install_fetch(text: Column) -> Column:
+def external_install_fetch(text: Column, low: Column) -> Column:
     """Host that an install script calls out to, or null: not a usual one, and ephemeral or told who asks."""
-    leak = matches(text, fixed.HOST_RECON)
+    leak = found(text, low, fixed.HOST_RECON)
     hosts = F.filter(all_matches(text, fixed.URL_HOST, 1, 60), lambda h: ~install_fetch_allowed(h) & (is_ephemeral_tunnel(h) | leak))
-    return F.when(matches(text, fixed.NET_PRIMITIVE), F.get(hosts, F.lit(0)))
+    return F.when(low.contains("http") & found(text, low, fixed.NET_PRIMITIVE), F.get(hosts, F.lit(0)))
 
 
-def looks_obfuscated(text: Column) -> Column:
-    return (F.char_length(text) >= 2000) & (max_line_bytes(text) >= 1000) & matches(text, fixed.EVAL_MARKER)
+def looks_obfuscated(text: Column, low: Column) -> Column:
+    return (F.char_length(text) >= 2000) & (max_line_bytes(text) >= 1000) & found(text, low, fixed.EVAL_MARKER)
 
 
 def severity_rank(severity: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import fixed
 from palisade.functions import scalars as S
+from palisade.functions.needles import first_found, found
 from palisade.functions.paths import base_name, is_build_tooling, is_data_config, is_package_metadata, is_sbom, is_setup_file, is_test_or_doc, is_vendored_bundle
 from palisade.functions.regex import all_matches, first_match, matches
 
@@ -75,59 +76,59 @@ def setup_findings(files: DataFrame) -> DataFrame:
     return rows.select("digest", F.lit("static").alias("stage"), "f.rule", "f.severity", "f.description", "f.evidence", (place + F.col("f.n")).cast("long").alias("ord"))
 
 
-def content_rules(t: Column) -> list[Column]:
+def content_rules(t: Column, low: Column) -> list[Column]:
     """A finding or null for each family of content rules, given the columns that `scanned` makes."""
     path, at = F.col("path"), lambda found: F.concat(F.col("path"), F.lit(": "), found)
     code, data, bundle, mini = ~F.col("test_doc"), F.col("data_config"), F.col("bundle"), F.col("minified")
     source, setup = code & ~data, F.col("setup")
-    has = lambda *patterns: [matches(t, p) for p in patterns]
-    aws = first_match(t, fixed.AWS_KEY)
+    has = lambda *patterns: [found(t, low, p) for p in patterns]
+    aws = first_found(t, low, fixed.AWS_KEY)
     secret = (
-        F.when(matches(t, fixed.PRIVATE_KEY), finding("private-key", path, 3, "secret"))
+        F.when(found(t, low, fixed.PRIVATE_KEY), finding("private-key", path, 3, "secret"))
         .when((aws != "") & ~aws.endswith("EXAMPLE"), finding("aws-key", at(aws), 3, "secret"))
-        .when(matches(t, fixed.GENERIC_SECRET), finding("secret", path, 3, "secret"))
+        .when(found(t, low, fixed.GENERIC_SECRET), finding("secret", path, 3, "secret"))
     )
     connect, bind, target = has(fixed.REV_SHELL_CONNECT, fixed.REV_SHELL_BIND, fixed.REV_SHELL_TARGET)
-    idiom = first_match(t, fixed.REV_SHELL_IDIOM)
+    idiom = first_found(t, low, fixed.REV_SHELL_IDIOM)
     shell = F.when(idiom != "", finding("shell-idiom", at(idiom), 4)).when(connect & bind & target, finding("shell-wired", at(first_match(t, fixed.REV_SHELL_TARGET)), 4))
     stratum, miner, config = has(fixed.STRATUM, fixed.MINER_BINARY, fixed.MINER_CONFIG)
     in_source = source & ~F.col("build") & ~bundle & ~mini & (base_name(path) != "package.json") & ~setup
     env = at(first_match(t, fixed.BULK_ENV))
-    sends, quiet = code & matches(t, fixed.ENV_EXFIL_SEND), code & ~bundle
-    recon = quiet & (S.host_recon_exfil(t) | S.shell_recon_exfil(t))
+    sends, quiet = code & found(t, low, fixed.ENV_EXFIL_SEND), code & ~bundle
+    recon = quiet & (S.host_recon_exfil(t, low) | S.shell_recon_exfil(t, low))
     fetched = quiet & F.col("fetched").isNotNull()
     return [
-        F.when(source & matches(t, fixed.DYN_EXEC_DECODED), finding("exec-decoded", at(first_match(t, fixed.DYN_EXEC_DECODED)), 0)),
+        F.when(source & found(t, low, fixed.DYN_EXEC_DECODED), finding("exec-decoded", at(first_match(t, fixed.DYN_EXEC_DECODED)), 0)),
         F.when(code & F.col("endpoint").isNotNull(), finding("endpoint", at(F.col("endpoint")), 1)),
         F.when(code & F.col("encoded").isNotNull(), finding("encoded", at(S.truncate(F.col("encoded"), 120)), 2)),
         F.when(source, secret),
         F.when(source & ~bundle & ~mini, shell),
         F.when(stratum | (code & miner & config), finding("miner", path, 5)),
-        F.when(in_source & matches(t, fixed.DESTRUCTIVE), finding("wiper", at(first_match(t, fixed.DESTRUCTIVE)), 6)),
+        F.when(in_source & found(t, low, fixed.DESTRUCTIVE), finding("wiper", at(first_match(t, fixed.DESTRUCTIVE)), 6)),
         F.when(sends, F.when(setup, finding("env-exfil-install", env, 7)).otherwise(finding("env-exfil-install", env, 7, gate=IN_HOOKS))),
         F.when(sends & ~setup, finding("env-exfil", env, 7, gate=ELSEWHERE)),
         F.when(recon, F.when(setup, finding("recon", path, 8)).otherwise(finding("recon", path, 8, gate=IN_HOOKS))),
         F.when(fetched, F.when(setup, finding("fetch", at(F.col("fetched")), 9)).otherwise(finding("fetch", at(F.col("fetched")), 9, gate=IN_HOOKS))),
-        F.when(source & matches(t, fixed.WEBHOOK), finding("webhook", at(first_match(t, fixed.WEBHOOK)), 10)),
+        F.when(source & found(t, low, fixed.WEBHOOK), finding("webhook", at(first_match(t, fixed.WEBHOOK)), 10)),
         F.when(F.col("hex_obfuscated"), finding("obfuscated-js", path, 11)).when(F.col("py_obfuscated"), finding("obfuscated-py", path, 11)),
-        F.when(S.looks_obfuscated(t), finding("blob", path, 12)),
+        F.when(S.looks_obfuscated(t, low), finding("blob", path, 12)),
     ]
 
 
 def scanned(files: DataFrame) -> DataFrame:
     """The files that rules look at, with their text, kind of path and costly values."""
-    path, t = F.col("path"), F.col("text")
+    path, t, low = F.col("path"), F.col("text"), F.col("low")
     live = files.filter(~is_sbom(path) & ~is_package_metadata(path)).filter(~S.is_binary(F.col("content")))
     kinds = {"test_doc": is_test_or_doc, "data_config": is_data_config, "bundle": is_vendored_bundle, "build": is_build_tooling, "setup": is_setup_file}
-    flagged = live.withColumn("text", S.as_text(F.col("content"))).drop("content").withColumns({k: f(path) for k, f in kinds.items()}).withColumn("minified", S.is_minified(t))
+    flagged = live.withColumn("text", S.as_text(F.col("content"))).drop("content").withColumns({k: f(path) for k, f in kinds.items()}).withColumn("minified", S.is_minified(t)).withColumn("low", F.lower(t))
     code = F.when(~F.col("test_doc"), t)
-    costly = {"endpoint": S.hardcoded_public_endpoint(code), "encoded": S.decoded_network_indicator(code), "fetched": S.external_install_fetch(F.when(~F.col("bundle"), code)), "hex_obfuscated": S.hex_obfuscated(t), "py_obfuscated": S.py_obfuscated(t)}
+    costly = {"endpoint": S.hardcoded_public_endpoint(code), "encoded": S.decoded_network_indicator(code), "fetched": S.external_install_fetch(F.when(~F.col("bundle"), code), low), "hex_obfuscated": S.hex_obfuscated(t, low), "py_obfuscated": S.py_obfuscated(t, low)}
     return flagged.withColumns(costly)
 
 
 def content_findings(files: DataFrame, targets: DataFrame) -> DataFrame:
     """targets: digest, target."""
-    rules = F.filter(F.array(*content_rules(F.col("text"))), lambda x: x.isNotNull())
+    rules = F.filter(F.array(*content_rules(F.col("text"), F.col("low"))), lambda x: x.isNotNull())
     hits = scanned(files).select("digest", "file_idx", base_name(F.col("path")).alias("target"), F.explode(rules).alias("f"))
     hooked = targets.select("digest", "target").distinct().withColumn("hooked", F.lit(IN_HOOKS))
     settled = hits.join(hooked, ["digest", "target"], "left").filter((F.col("f.gate") == ALWAYS) | (F.col("f.gate") == F.coalesce("hooked", F.lit(ELSEWHERE))))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed
+from palisade.functions.needles import found
 from palisade.functions.regex import first_match, jvm, matches
 
 PATTERNS = {k: v for k, v in vars(fixed).items() if k.isupper() and isinstance(v, str) and k != "READ_DESCRIPTION"}
@@ -26,8 +27,11 @@ def test_like_re2(spark):
     given = pd.DataFrame({"i": range(len(texts())), "t": texts()})
     con = duckdb.connect()
     con.register("given", given)
+    t, low = F.col("t"), F.lower("t")
     df = spark.createDataFrame(given)
-    hits = df.select("i", *[matches(F.col("t"), p).alias(k) for k, p in PATTERNS.items() if k != "QUOTED_STRING"]).toPandas().set_index("i").sort_index()
+    hits = df.select("i", *[matches(t, p).alias(k) for k, p in PATTERNS.items() if k != "QUOTED_STRING"]).toPandas().set_index("i").sort_index()
+    quick = df.select("i", *[found(t, low, p).alias(k) for k, p in PATTERNS.items() if k != "QUOTED_STRING"]).toPandas().set_index("i").sort_index()
+    assert quick.equals(hits)
     unseen = []
     for k, p in PATTERNS.items():
         if k == "QUOTED_STRING":
@@ -42,4 +46,5 @@ def test_like_re2(spark):
 
 
 def test_translation():
-    assert jvm(r"\b[^\s]$").count(r"\z") == 1 and r"\s" not in jvm(r"\b[^\s]$")
+    assert jvm(r"x\b[^\s]$").count(r"\z") == 1 and r"\s" not in jvm(r"x\b[^\s]$")
+    assert jvm(r"\b(?:ab|c)\b|d") == r"(?d)(?<![0-9A-Za-z_])(?:ab|c)(?![0-9A-Za-z_])|d"
