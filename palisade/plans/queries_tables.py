@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions import fixed, paths
 from palisade.functions import scalars as S
-from palisade.functions.regex import all_matches, matches
+from palisade.functions.needles import first_found, found
+from palisade.functions.regex import all_matches
 from palisade.operators.advisories import advisory_findings
 from palisade.operators.triage import RuleModel
 from palisade.operators.versions import append_history, file_changes, previous_good
@@ -47,8 +48,9 @@ def _in(values: list[str]) -> str:
 
 @query(f"SELECT doc_id, regexp_matches(text, {_re(fixed.GENERIC_SECRET)}) AS secret, regexp_matches(text, {_re(fixed.PRIVATE_KEY)}) AS private_key, regexp_extract(text, {_re(fixed.AWS_KEY)}) AS aws_key FROM documents")
 def secret_scan(spark, sf_dir):
-    t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", matches(t, fixed.GENERIC_SECRET).alias("secret"), matches(t, fixed.PRIVATE_KEY).alias("private_key"), F.coalesce(F.regexp_substr(t, F.lit(r"(?<![0-9A-Za-z_])AKIA[0-9A-Z]{16}(?![0-9A-Za-z_])")), F.lit("")).alias("aws_key"))
+    t, low = F.col("text"), F.col("low")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    return docs.select("doc_id", found(t, low, fixed.GENERIC_SECRET).alias("secret"), found(t, low, fixed.PRIVATE_KEY).alias("private_key"), first_found(t, low, fixed.AWS_KEY).alias("aws_key"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS n FROM documents WHERE regexp_matches(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')")
