@@ -1,10 +1,11 @@
 """Quality rules by distribution divergence.
 
 Each document's histogram of character classes and of common short words is compared with the reference of its
-language by Jensen-Shannon distance. References are sums over all documents of the language: the shares of the
-classes, and of the most common words of up to COMMON_LENGTH characters. A histogram judges only documents, and is
-judged only by references, of a minimum length. Base rules on length and repetition come first. DataFrame functions
-only.
+language by Jensen-Shannon distance. References are sums over the distinct texts of the language that pass the
+base rules: the shares of the classes, and of the most common words of up to COMMON_LENGTH characters. Copies count once
+and a text weighs MOST_WORDS and MOST_CHARS at most, so no hot or huge document becomes the language. A histogram judges
+only documents, and is judged only by references, of a minimum length. Base rules on length and repetition come first.
+DataFrame functions only.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is one of its own; a
 language with little text judges nothing; repeated rows are judged alike; texts are read whole; an empty table gives
@@ -24,6 +25,9 @@ from palisade.llm.common import materialize, words
 #: Character classes in order of counting; what is left over is the last class.
 CLASSES = {"lower": r"\p{Ll}+", "blank": r"[\x20\x09-\x0D]+", "upper": r"\p{Lu}+", "digit": r"\p{N}+", "mark": r"[.,;:!?'\"()-]+"}
 COMMON_LENGTH = 4
+#: A longer text weighs no more than this in the references: its words and characters count in parts of UNIT, so sums
+#: are of whole numbers and don't depend on order.
+MOST_WORDS, MOST_CHARS, UNIT = 1000, 6000, 10_000
 
 
 @dataclass(frozen=True)
@@ -90,7 +94,7 @@ def features(docs: DataFrame, rules: Rules = Rules(), *carried: str) -> DataFram
     df = docs.select("doc_id", F.coalesce(F.concat(F.lit("a"), F.col("lang")), F.lit("n")).alias("lk"), t.alias("t"), *carried)
     df = df.withColumn("w", words(F.col("t"))).withColumn("lines", lines)
     df = df.select(
-        "doc_id", "lk", *carried, F.col("t").alias("rest"), F.char_length("t").alias("n_chars"), F.size("w").cast("long").alias("n_words"),
+        "doc_id", "lk", *carried, F.col("t").alias("rest"), F.xxhash64("t").alias("text_hash"), F.char_length("t").alias("n_chars"), F.size("w").cast("long").alias("n_words"),
         F.char_length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -104,18 +108,25 @@ def features(docs: DataFrame, rules: Rules = Rules(), *carried: str) -> DataFram
     return df.withColumn("classes", counts).drop("rest", *CLASSES)
 
 
+def base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+
+
 def references(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """lk, class_ref, common, common_ref: a row for each language with enough text."""
     n = len(CLASSES) + 1
-    sums = found.groupBy("lk").agg(F.sum("n_words").alias("ref_words"), F.array(*[F.sum(F.col("classes")[i]) for i in range(n)]).alias("sums"))
+    texts = found.filter(~base_failed(rules)).groupBy("lk", "text_hash", "n_chars", "n_words").agg(F.first("classes").alias("classes"), F.first("short").alias("short"))
+    each = lambda size, most: F.greatest(F.lit(1), F.least(F.lit(UNIT), F.floor(F.lit(UNIT * most) / F.greatest(F.col(size), F.lit(1)))))
+    texts = texts.withColumn("word", each("n_words", MOST_WORDS)).withColumn("char", each("n_chars", MOST_CHARS))
+    sums = texts.groupBy("lk").agg(F.sum("n_words").alias("ref_words"), F.sum(F.col("n_words") * F.col("word")).alias("ref_weight"), F.array(*[F.sum(F.col("classes")[i] * F.col("char")) for i in range(n)]).alias("sums"))
     sums = sums.filter(F.col("ref_words") >= rules.min_reference_words)
     total = F.aggregate("sums", F.lit(0).cast("long"), lambda a, b: a + b)
-    sums = sums.withColumn("total", total).select("lk", "ref_words", F.transform("sums", lambda x: x / F.col("total")).alias("class_ref"))
-    words_ = found.select("lk", F.explode(F.split(F.trim("short"), "  ")).alias("word")).filter("word <> ''").groupBy("lk", "word").count()
-    shares = words_.join(sums.select("lk", "ref_words"), "lk").filter(F.col("count") >= rules.common_share * F.col("ref_words"))
-    rank = F.row_number().over(Window.partitionBy("lk").orderBy(F.desc("count"), "word"))
+    sums = sums.withColumn("total", total).select("lk", "ref_weight", F.transform("sums", lambda x: x / F.col("total")).alias("class_ref"))
+    words_ = texts.select("lk", F.col("word").alias("each"), F.explode(F.split(F.trim("short"), "  ")).alias("word")).filter("word <> ''").groupBy("lk", "word").agg(F.sum("each").alias("weight"))
+    shares = words_.join(sums.select("lk", "ref_weight"), "lk").filter(F.col("weight") >= rules.common_share * F.col("ref_weight"))
+    rank = F.row_number().over(Window.partitionBy("lk").orderBy(F.desc("weight"), "word"))
     top = shares.withColumn("rank", rank).filter(F.col("rank") <= rules.common_words)
-    top = top.groupBy("lk").agg(F.sort_array(F.collect_list(F.struct("rank", "word", (F.col("count") / F.col("ref_words")).alias("share")))).alias("top"))
+    top = top.groupBy("lk").agg(F.sort_array(F.collect_list(F.struct("rank", "word", (F.col("weight") / F.col("ref_weight")).alias("share")))).alias("top"))
     return sums.join(top, "lk", "left").select("lk", "class_ref", F.coalesce("top.word", F.array().cast("array<string>")).alias("common"), F.coalesce("top.share", F.array().cast("array<double>")).alias("common_ref"))
 
 
@@ -135,8 +146,7 @@ def judged(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
     both = found.join(materialize(references(found, rules)), "lk", "left")
     by_class = F.when((F.col("n_chars") >= rules.min_chars) & F.col("class_ref").isNotNull(), distance(F.transform("classes", lambda x: x / F.col("n_chars")), F.col("class_ref")))
     by_word = F.when((F.col("n_words") >= rules.min_words_judged) & (F.size("common") > 0), distance(rest(times), rest(F.col("common_ref"))))
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    both = both.withColumn("class_distance", by_class).withColumn("word_distance", by_word).withColumn("base_failed", failed)
+    both = both.withColumn("class_distance", by_class).withColumn("word_distance", by_word).withColumn("base_failed", base_failed(rules))
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.class_limit) | (F.coalesce("word_distance", F.lit(0.0)) > rules.word_limit)
     return both.withColumn("kept", ~F.col("base_failed") & ~far)
 

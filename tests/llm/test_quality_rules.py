@@ -80,3 +80,19 @@ def test_documents(spark):
     assert kept.columns == docs.columns
     assert kept.count() == quality(docs).filter("kept").count()
     assert kept_documents(docs.limit(0)).count() == quality(docs.limit(0)).count() == 0
+
+
+def test_hot_texts(spark):
+    """Copies and one huge text are not the language: with a third of rows being copies of a junk text, passing the base
+    rules or failing them, clean texts stay and junk goes."""
+    rng = random.Random(8)
+    clean = [(i, prose(rng, 150), "en") for i in range(120)]
+    junk = [(200 + i, " | ".join("".join(rng.choices("aeiou", k=9)) for _ in range(90)), "en") for i in range(4)]
+    passing, failing = junk[0][1], "| spam " * 400
+    huge = " | ".join("".join(rng.choices("aeiou", k=9)) for _ in range(30_000))
+    for hot in [[passing] * 62, [failing] * 62, [huge]]:
+        docs = spark.createDataFrame(clean + junk + [(1000 + i, t, "en") for i, t in enumerate(hot)], "doc_id long, text string, lang string")
+        kept = {r.doc_id: r.kept for r in quality(docs).collect()}
+        assert [i for i in range(120) if not kept[i]] == [], hot[0][:20]
+        assert not any(kept[i] for i in kept if i >= 200), hot[0][:20]
+        assert {r.doc_id for r in kept_documents(docs).collect()} == set(range(120))
