@@ -143,13 +143,19 @@ ENTRIES = [
 ]
 _PICK = f"event_id * 13 % {len(ENTRIES) * 3}"  # two of three events are none of these
 
+#: Entries that no rule looks for, alone or with others: what the other events did.
+_TOGETHER = ("/tmp/stage.sh", "/home/u/a.txt", "sh|/tmp/stage.sh", "uname|-a", "whoami|x", "id")
+HARMLESS = [i for i, (_, value, rule, _) in enumerate(ENTRIES) if rule is None and value not in _TOGETHER]
+
 #: Events of one install: a third of the users share a big one, the others' are small.
 _INSTALL = "CASE WHEN user_id % 3 = 0 THEN 'all' ELSE concat(user_id, '-', event_id % 12) END"
 
 
 def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trace as JSON for each install; the event's kind is its phase."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("pick", F.expr(_PICK).cast("int")).filter(F.col("pick") < len(ENTRIES))
+    """A trace as JSON for each install, of all its events; the event's kind is its phase."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("pick", F.expr(_PICK).cast("int"))
+    harmless = F.get(F.array(*[F.lit(i) for i in HARMLESS]), F.col("pick") % len(HARMLESS))
+    e = e.withColumn("pick", F.when(F.col("pick") < len(ENTRIES), F.col("pick")).otherwise(harmless))
     table = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v, _, _ in ENTRIES])
     phase = F.expr("CASE event_type WHEN 'signup' THEN 'install' WHEN 'click' THEN 'import' ELSE 'execute' END")
     rows = e.select(F.expr(_INSTALL).alias("digest"), "event_id", phase.alias("phase"), F.get(table, F.col("pick")).alias("x")).select("digest", "event_id", "phase", "x.*")

@@ -3,8 +3,10 @@ filters."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.plans import queries_packages as packages
+from palisade.sources.tables import traces as parse
 
 D = "/root/testdata/sf0.01"
 
@@ -49,3 +51,12 @@ def test_every_document_is_a_file(spark, con):
     assert all(any(f"{t}\n{line}\n" in texts for _, line in packages.LINES) for (t,) in con.execute("SELECT text FROM documents").fetchall())
     for name in ("package_findings", "package_verdicts", "package_excerpts"):
         same(con, all_files(packages.SQL[name]), packages.QUERIES[name](spark, D))
+
+
+def test_every_event_is_in_a_trace(spark, con):
+    lists = ["Files", "Sockets", "Commands", "DNS"]
+    parts = parse(packages.event_traces(spark, D)).select(F.explode(F.map_values("trace.Analysis")).alias("p")).select(*[F.size(f"p.{x}").alias(x) for x in lists])
+    assert parts.agg(sum(F.sum(x) for x in lists)).first()[0] == con.execute("SELECT count(*) FROM events").fetchone()[0]
+    same(con, packages.SQL["behavior_findings"], packages.QUERIES["behavior_findings"](spark, D))
+    every = changed(packages.SQL["behavior_verdicts"], "SELECT DISTINCT digest FROM e)", f"SELECT DISTINCT {packages._INSTALL} AS digest FROM events)")
+    same(con, every, packages.QUERIES["behavior_verdicts"](spark, D))
