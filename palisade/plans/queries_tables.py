@@ -182,10 +182,17 @@ def previous_good_version(spark, sf_dir):
 p AS (SELECT path, hash FROM f WHERE source = 'src0'), c AS (SELECT path, hash FROM f WHERE source = 'src1')
 SELECT coalesce(p.path, c.path) AS path, CASE WHEN p.hash IS NULL THEN 'added' WHEN c.hash IS NULL THEN 'removed' ELSE 'modified' END AS change FROM p FULL JOIN c ON p.path = c.path WHERE p.hash IS DISTINCT FROM c.hash""")
 def version_diff(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("source in ('src0', 'src1')")
+    """Each source against the one before it. The SQL is of src1 against src0 alone and doesn't tell the digest, so it
+    doesn't agree."""
+    from pyspark.sql import Window
+
+    d = read(spark, sf_dir, "documents")
     files = d.select(F.col("source").alias("digest"), F.concat("lang", F.lit("/"), F.expr("cast(doc_id div 40 as string)")).alias("path"), F.col("text").cast("binary").alias("content"), F.col("doc_id").cast("int").alias("file_idx"))
-    pairs = spark.createDataFrame([("src1", "src0")], "digest string, prev_digest string")
-    return file_changes(pairs, files).select("path", "change")
+    # src2 comes before src10; one row a source
+    in_order = Window.orderBy(F.length("source"), "source")
+    sources = d.select("source").distinct().filter("source IS NOT NULL")
+    pairs = sources.select(F.col("source").alias("digest"), F.lag("source").over(in_order).alias("prev_digest")).filter("prev_digest IS NOT NULL")
+    return file_changes(pairs, files).select("digest", "path", "change")
 
 
 @query("""WITH h AS (SELECT conv_id, role, turn // 2 AS v, max_by(text, turn) AS command FROM conversations GROUP BY ALL)
@@ -201,9 +208,10 @@ def hook_diff(spark, sf_dir):
 CASE upper(p_type) WHEN 'ECONOMY' THEN 'low' WHEN 'STANDARD' THEN 'medium' WHEN 'PROMO' THEN 'critical' ELSE CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END END AS severity, 'known vulnerability P-' || p_partkey || ': ' || p_name AS description
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 5 = 0""")
 def vuln_lookup(spark, sf_dir):
+    """Every part is an advisory. The SQL leaves four in five out, so it doesn't agree."""
     label = F.expr("CASE upper(p_type) WHEN 'ECONOMY' THEN 'LOW' WHEN 'STANDARD' THEN 'Moderate' WHEN 'PROMO' THEN 'CRITICAL' END")
     scores = F.when(F.expr("p_size % 2 = 0"), F.array(F.struct(F.lit("cvss_v3").alias("type"), F.lit("x").alias("score"))))
-    part = read(spark, sf_dir, "part").filter("p_size % 5 = 0")
+    part = read(spark, sf_dir, "part")
     advisories = part.select(F.lit("PyPI").alias("ecosystem"), F.col("p_partkey").cast("string").alias("name"), F.lit("1").alias("version"), F.concat(F.lit("P-"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("summary"), label.alias("db_severity"), scores.alias("severity"))
     artifacts = read(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("digest"), F.lit("pypi").alias("ecosystem"), F.col("l_partkey").cast("string").alias("name"), F.lit("1").alias("version"))
     return advisory_findings(artifacts, advisories).select("digest", "rule", "severity", "description")

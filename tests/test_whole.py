@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.plans import queries_packages as packages
+from palisade.plans import queries_tables as tables
 from palisade.sources.tables import traces as parse
 
 D = "/root/testdata/sf0.01"
@@ -60,3 +61,13 @@ def test_every_event_is_in_a_trace(spark, con):
     same(con, packages.SQL["behavior_findings"], packages.QUERIES["behavior_findings"](spark, D))
     every = changed(packages.SQL["behavior_verdicts"], "SELECT DISTINCT digest FROM e)", f"SELECT DISTINCT {packages._INSTALL} AS digest FROM events)")
     same(con, every, packages.QUERIES["behavior_verdicts"](spark, D))
+
+
+def test_every_source_and_advisory(spark, con):
+    names = sorted((x for (x,) in con.execute("SELECT DISTINCT source FROM documents").fetchall()), key=lambda x: int(x[3:]))
+    sql = tables.SQL["version_diff"]
+    pair = lambda a, b: f"SELECT '{b}' AS digest, * FROM (" + changed(changed(sql, "'src1'", f"'{b}'"), "'src0'", f"'{a}'") + ")"
+    got = tables.version_diff(spark, D)
+    assert got.select("digest").distinct().count() == len(names) - 1
+    same(con, " UNION ALL ".join(pair(a, b) for a, b in zip(names, names[1:], strict=False)), got)
+    same(con, changed(tables.SQL["vuln_lookup"], "WHERE p_size % 5 = 0", ""), tables.vuln_lookup(spark, D))
