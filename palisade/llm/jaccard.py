@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, in place of an LSH forest.
 
-Each tree of the forest is a trie of the documents' signatures, sorted by prefix. The matched prefix starts at the full
-depth and is shortened until a pair at the threshold meets in some tree with the target probability. Documents that
-share a node are candidates; connected candidates make a container, and within each container the exact similarity of
+Each tree is a band of minima. Its depth starts full and is shortened, before any data is read, until a pair at the
+threshold meets in some tree with the target probability; the minima to that depth are one key. Documents that share a
+key are candidates; connected candidates make a container, and within each container the exact similarity of
 word shingles is computed, by blocks, for every pair. Copies (equal shingle sets) count as one class throughout.
 
 Similarity is the Jaccard index of the sets of five-word shingles, links are pairs of 0.8 or more, and groups are the
