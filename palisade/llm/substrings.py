@@ -1,26 +1,28 @@
 """Substring dedup with repeated-phrase automata.
 
 Passages that recur are confirmed by content within their shard (see repeats.py for how documents are dealt to shards),
-each shard compiles its confirmed passages into an Aho-Corasick automaton over words, and every fragment of every
-document streams through the automaton of its shard, which locates all occurrences. The occurrence that starts first
-stays, words of the others go.
-
-Defined cases: null, empty and short texts lose nothing; repeated rows, shared and null ids as in repeats.py; texts of
-any length are read whole; an empty table gives an empty result; other columns are ignored.
+each shard compiles its confirmed passages into an Aho-Corasick automaton over words, and every fragment of its
+documents streams through it, which locates all occurrences. The occurrence that starts first stays, words of the others
+go.
+
+Defined cases: null, empty and short texts lose nothing; repeated rows are one document and lose alike; different texts
+of one id, or of no id, are documents of their own, ordered by a hash of 128 bits; texts of any length are read whole;
+ties don't occur, as names differ; an empty table gives an empty result; other columns are ignored by `substring_dedup`
+and kept by `deduped_documents`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palisade.llm.hashing import word_bounds
-from palisade.llm.repeats import NO_ID, Units, removed_units, with_removed
+from palisade.llm.repeats import Units, with_removed
 
 WINDOW, GRAM = 20, 8
 #: Fragments looked at together, and passages in one automaton.
@@ -43,85 +45,73 @@ def as_strings(contents: list[bytes]) -> list[str]:
     return out
 
 
-def confirmed(strings: list[str], docs: np.ndarray, starts: np.ndarray, window: int) -> set[str]:
-    """Passages that occur at two positions or more: whole fragments, and windows that different fragments share."""
-    places: dict[str, tuple[int, int]] = {}
+def confirmed(strings: list[str], window: int) -> list[str]:
+    """Windows that occur at two places or more of these strings."""
     found: set[str] = set()
-    for s, d, a in zip(strings, docs.tolist(), starts.tolist(), strict=True):
-        if places.setdefault(s, (d, a)) != (d, a):
-            found.add(s)
     seen: set[str] = set()
-    for s in places:
+    for s in strings:
         for i in range(len(s) - window + 1):
             w = s[i : i + window]
             if w in seen:
                 found.add(w)
             else:
                 seen.add(w)
-    return found
+    return sorted(found)
 
 
 def locate(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, size) of all occurrences of confirmed passages but each passage's first."""
+    """Spans (row, offset, size) of all occurrences of confirmed passages but each passage's first."""
     strings = as_strings(contents)
-    passages = list(confirmed(strings, docs, starts, window))
-    hits: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+    passages = confirmed(strings, window)
+    hits: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
     for base in range(0, len(passages), PASSAGES):
         automaton = ahocorasick.Automaton()
         for k, p in enumerate(passages[base : base + PASSAGES], base):
-            automaton.add_word(p, (k, len(p)))
+            automaton.add_word(p, k)
         automaton.make_automaton()
-        found = [(k, i, end - size + 1, size) for i, s in enumerate(strings) for end, (k, size) in automaton.iter(s)]
-        hits.append(np.array(found, np.int64).reshape(-1, 4))
-    passage, fragment, offset, size = np.concatenate(hits).T
-    doc, start = docs[fragment], starts[fragment] + offset
+        found = [(k, i, end - window + 1) for i, s in enumerate(strings) for end, k in automaton.iter(s)]
+        hits.append(np.array(found, np.int64).reshape(-1, 3))
+    passage, row, offset = np.concatenate(hits).T
+    doc, start = docs[row], starts[row] + offset
     order = np.lexsort((start, doc, passage))
-    passage, doc, start, size = passage[order], doc[order], start[order], size[order]
-    first = np.maximum.accumulate(np.where(np.concatenate(([True], passage[1:] != passage[:-1])), np.arange(len(passage)), 0))
-    later = (doc != doc[first]) | (start != start[first])
-    return doc[later], start[later], size[later]
-
+    passage, row, offset = passage[order], row[order], offset[order]
+    later = np.zeros(len(passage), bool)
+    later[1:] = passage[1:] == passage[:-1]
+    return row[later], offset[later], np.full(int(later.sum()), window)
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for doc, text, spans in zip(b.column("doc").to_pylist(), b.column("text"), b.column("spans"), strict=True):
-            raw = text.as_buffer()
-            raw = b"" if raw is None else raw.to_pybytes()
-            n = len(words := raw.split())
-            gone = removed_units(raw, spans, n)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
-            rows.append((None if doc == NO_ID else doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
-        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n_words", "n_removed", "kept_sha256"), r, strict=True)) for r in rows], pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
+def _kept(text: bytes, gone: np.ndarray) -> bytes:
+    return b" ".join([w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g])
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **hot: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by one space)."""
 
+def _resolve(window: int):
     def resolve(contents, docs, starts, counts):
         return locate(contents, docs, starts, counts, window)
 
-    return with_removed(docs, Units(True, window, gram, **hot), resolve, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", SHARD)
+    return resolve
 
 
-def deduped_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc, text with the repeats taken out (words joined by one space where any went), doc being the doc_id."""
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, spans in zip(b.column("text"), b.column("spans"), strict=True):
-                raw = text.as_buffer()
-                if raw is None or not spans.is_valid:
-                    out.append(None if raw is None else text.as_py())
-                    continue
-                raw = raw.to_pybytes()
-                start, end = word_bounds(np.frombuffer(raw, np.uint8))
-                gone = removed_units(raw, spans, len(start))
-                out.append(b" ".join(raw[i:j] for i, j, g in zip(start.tolist(), end.tolist(), gone.tolist(), strict=True) if not g).decode() if gone.any() else raw.decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, pa.string())], ["doc", "text"])
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **hot: int) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by one space)."""
 
-    def resolve(contents, docs, starts, counts):
-        return locate(contents, docs, starts, counts, window)
+    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
+        kept = [hashlib.sha256(_kept(t, m)).hexdigest() for t, m in zip(texts, masks, strict=True)]
+        columns = [b.column("doc_id"), pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(kept, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_removed(docs, Units(True, window, gram), resolve, finish, "doc long, text string", SHARD)
+    return with_removed(docs, Units(True, window, gram, **hot), _resolve(window), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", SHARD)
+
+
+def deduped_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs, all columns and rows, with repeated words cut from their texts: words are joined by one space where any
+    went, other texts stay as they are."""
+
+    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
+        there = b.column("text").is_valid().to_pylist()
+        cut = [(_kept(t, m) if m.any() else t).decode() if ok else None for t, m, ok in zip(texts, masks, there, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("row"), pa.array(cut, pa.string())], ["row", "cut"])
+
+    row = T.StructType([f for f in docs.schema.fields if f.name != "text"])
+    schema = T.StructType([T.StructField("row", row), T.StructField("cut", T.StringType())])
+    cut = with_removed(docs, Units(True, window, gram), _resolve(window), finish, schema, SHARD, carry=True)
+    return cut.select(*[F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

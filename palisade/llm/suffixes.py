@@ -1,22 +1,24 @@
 """Suffix-array dedup: repeated byte strings from merged Burrows-Wheeler transforms.
 
-Fragments that may hold a repeated string are dealt to shards (see repeats.py). In a shard every fragment is a small
-transform of its own: the suffixes that follow its strings, and the symbols that precede them. The transforms of all
-fragments are merged by refining one interleave: it starts with fragments in order of position and the empty context;
-each round reads the symbols that precede the current suffixes and distributes the interleave by them, stably, which
-makes it right for contexts longer by one symbol. No suffix is ever compared with another. Where the interleave first
-tells two neighbours apart is their common prefix; runs that stay together to the full length are the repeated
-intervals, and the head of a run is its earliest string, as all steps are stable. Suffixes that no longer share their
-context with another leave the merge early. A symbol is two bytes.
-
-Defined cases: null, empty and short texts lose nothing; repeated rows, shared and null ids as in repeats.py; texts of
-any length are read whole; an empty table gives an empty result; other columns are ignored.
+Fragments that may hold a repeated string are dealt by anchor (see repeats.py). What meets is cut into shards of bounded
+size. Each shard's text is suffix-sorted on its own, read backwards, which gives its transform: the symbol that follows
+each place, in order of what precedes it, and the step from a place to the next one's rank. The transforms of all shards
+are then merged by refining one interleave, which reads these transforms only: it starts with the ranks of all windows'
+first places, shard by shard and with no context; each round reads the symbols there, distributes the interleave by
+them, stably, and steps on, so that it is right for contexts longer by a symbol. No suffixes are sorted or compared
+again. A block of the interleave has one context; where a boundary first parts two neighbours is their common prefix,
+and blocks that stay together for the whole length are the repeated intervals. Windows alone in their block are done.
+
+Defined cases: null, empty and short texts lose nothing; repeated rows are one document and lose alike; different texts
+of one id, or of no id, are documents of their own, ordered by a hash of 128 bits; texts of any length are read whole;
+ties don't occur, as names differ; an empty table gives an empty result; other columns are ignored by `suffix_dedup` and
+kept by `deduped_texts`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,113 +26,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.repeats import NO_ID, Units, removed_units, with_removed
+from palisade.llm.repeats import Units, with_removed
 
 WINDOW, GRAM = 100, 32
-#: Fragments merged at once.
-SHARD = 40_000
-
-
-def repeated_intervals(text: np.ndarray, strings: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the strings of an even length that start at the given places of text, and their interval numbers.
-
-    Equal strings share an interval and keep their given order; strings equal to no other are left out.
+#: Fragments merged at once, and bytes of a shard, whose ranks fit in 16 bits.
+BLOCK, SHARD = 40_000, 60_000
+
+
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the text (the empty one included) in order of their first `depth` symbols at least, and the rank of
+    each, by doubling; ties in order of place. Fewer than 2**16 suffixes."""
+    n = len(text) + 1
+    rank = np.zeros(n, np.uint16)
+    rank[:-1] = text
+    rank[:-1] += 1
+    order = np.argsort(rank, kind="stable")
+    k = 1
+    while True:
+        key = rank[order]
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        if k > 1:  # the first round sorts by one symbol
+            half = np.zeros(n, np.uint16)
+            half[: n - k // 2] = rank[k // 2 :]
+            half = half[order]
+            new[1:] |= half[1:] != half[:-1]
+        number = np.cumsum(new) - 1
+        rank = np.empty(n, np.uint16)
+        rank[order] = number
+        if number[-1] == n - 1 or k >= depth:
+            break
+        # by the second half: those without one first, then the others as they are sorted already
+        by_half = np.concatenate((np.arange(n - k, n), order[order >= k] - k)) if k < n else order
+        order = by_half[np.argsort(rank[by_half], kind="stable")]
+        k *= 2
+    final = np.empty(n, np.int64)
+    final[order] = np.arange(n)
+    return order, final
+
+
+@dataclass
+class Transform:
+    """Of a text read backwards: for each place, in order of what precedes it, the `width` symbols that follow, and the
+    rank of the place behind these. rank: of each place."""
+
+    symbols: np.ndarray
+    step: np.ndarray
+    rank: np.ndarray
+
+
+def transform(text: np.ndarray, depth: int, width: int = 2) -> Transform:
+    order, rank = suffix_array(text[::-1], depth)
+    n = len(text)
+    place = n - order  # the suffix at i of the reversed text is what precedes place n - i
+    padded = np.concatenate((text, np.zeros(width, np.uint8)))
+    symbols = padded[place].astype(np.uint16)
+    if width == 2:  # the nearer symbol weighs less, so that it is the lesser of two steps
+        symbols |= padded[place + 1].astype(np.uint16) << 8
+    forward = rank[::-1]  # by place
+    return Transform(symbols, forward[np.minimum(place + width, n)], forward)
+
+
+def interleave(transforms: list[Transform], places: list[np.ndarray], length: int, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges transforms for the strings of a length (a multiple of width) that start at these places of each.
+
+    Returns the numbers of the strings (in the order given) that are equal to another one, as interleaved; the interval
+    of each; and for every string its longest common prefix with any other, in whole steps of width.
     """
-    symbols = text[:-1].astype(np.uint16) << 8 | text[1:]
-    interleave = np.arange(len(strings))
-    interval = np.zeros(len(strings), np.int64)
-    for depth in range(length - 2, -1, -2):
-        preceding = symbols[strings[interleave] + depth]
-        order = np.argsort(preceding, kind="stable")  # a radix distribution for 16 bits
-        preceding, interval, interleave = preceding[order], interval[order], interleave[order]
+    base = np.cumsum([0, *[len(t.step) for t in transforms]])
+    symbols = np.concatenate([t.symbols for t in transforms])
+    step = np.concatenate([t.step + b for t, b in zip(transforms, base, strict=False)])
+    at = np.concatenate([t.rank[p] + b for t, p, b in zip(transforms, places, base, strict=False)])
+    common = np.zeros(len(at), np.int32)
+    string = np.argsort(at, kind="stable")  # no context yet: shard by shard, in each one's order
+    at = at[string]
+    block = np.zeros(len(at), np.int64)
+    for depth in range(width, length + 1, width):
+        symbol = symbols[at]
+        order = np.argsort(symbol, kind="stable")  # a radix distribution for 16 bits
+        symbol, block, string = symbol[order], block[order], string[order]
+        at = step[at[order]]
         apart = np.ones(len(order), bool)
-        apart[1:] = (preceding[1:] != preceding[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(apart)
-        if depth % 8 == 0 or depth == 0:
-            alone = apart.copy()
-            alone[:-1] &= apart[1:]
-            interleave, interval = interleave[~alone], interval[~alone]
-        if not len(interleave):
+        apart[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        alone = apart.copy()
+        alone[:-1] &= apart[1:]
+        block = np.cumsum(apart)
+        together = ~alone
+        string, at, block = string[together], at[together], block[together]
+        common[string] = depth
+        if not len(string):
             break
-    return interleave, interval
-
-
-def repeats(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, size) of all strings of the window's length but each one's first."""
-    # fragments of one content merge as one; the first stands for them, the others are repeats as a whole
-    order = np.lexsort((starts, docs))
-    number: dict[bytes, int] = {}
-    first: list[int] = []
-    copies: list[int] = []
-    for i in order.tolist():
-        c = contents[i]
-        k = number.get(c)
-        if k is None:
-            number[c] = len(first)
-            first.append(i)
-        elif docs[first[k]] != docs[i] or starts[first[k]] != starts[i]:
-            copies.append(i)
-    own, copies = np.array(first), np.array(copies, np.int64)
-    text = np.frombuffer(b"".join(number), np.uint8)
-    sizes = counts[own] + window - 1
-    base = np.cumsum(sizes) - sizes
-    n = counts[own]
-    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    place = np.repeat(base, n) + nth
-    doc, start = np.repeat(docs[own], n), np.repeat(starts[own], n) + nth
-    by_position = np.lexsort((start, doc))
-    interleave, interval = repeated_intervals(text, place[by_position], window)
-    later = np.zeros(len(interval), bool)
-    later[1:] = interval[1:] == interval[:-1]
-    found = by_position[interleave[later]]
-    return (
-        np.concatenate((docs[copies], doc[found])), np.concatenate((starts[copies], start[found])),
-        np.concatenate((counts[copies] + window - 1, np.full(len(found), window))),
-    )
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for doc, text, spans in zip(b.column("doc").to_pylist(), b.column("text"), b.column("spans"), strict=True):
-            raw = text.as_buffer()
-            raw = b"" if raw is None else raw.to_pybytes()
-            gone = removed_units(raw, spans, len(raw))
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
-            runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            rows.append((None if doc == NO_ID else doc, len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(c, pa.string() if c == "kept_sha256" else pa.int64()) for c in names]))
+    return string, block, common
+
+
+def intervals(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, offset, size) of all strings of the window's length but each one's first."""
+    sizes = np.array([len(c) for c in contents])
+    text = np.frombuffer(b"".join(contents), np.uint8)
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(contents)), counts)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = (ends - sizes)[row] + offset
+    made, placed, at = [], [], 0
+    while at < len(contents):  # whole fragments, about a shard's bytes at a time
+        begin = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + shard, "right")))
+        a, b = np.searchsorted(row, (at, to))
+        made.append(transform(text[begin : int(ends[to - 1])], window))
+        placed.append(place[a:b] - begin)
+        at = to
+    string, block, _ = interleave(made, placed, window)
+    if not len(string):
+        return (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((starts[row[string]] + offset[string], docs[row[string]], block))
+    string, block = string[order], block[order]
+    later = np.zeros(len(string), bool)
+    later[1:] = block[1:] == block[:-1]
+    # one place may come in two fragments of one content only, and contents are distinct
+    found = string[later]
+    return row[found], offset[found], np.full(len(found), window)
 
 
 def _resolve(window: int):
     def resolve(contents, docs, starts, counts):
-        return repeats(contents, docs, starts, counts, window)
+        return intervals(contents, docs, starts, counts, window)
 
     return resolve
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **hot: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. The window's length is even."""
-    return with_removed(docs, Units(False, window, gram, **hot), _resolve(window), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", SHARD)
+
+    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
+        kept = [hashlib.sha256(_kept(t, m)).hexdigest() for t, m in zip(texts, masks, strict=True)]
+        runs = [int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()) for m in masks]
+        columns = [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return with_removed(docs, Units(False, window, gram, **hot), _resolve(window), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", BLOCK)
+
+
+def _kept(text: bytes, gone: np.ndarray) -> bytes:
+    return np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
 
 
 def deduped_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs, all columns and rows, with repeated bytes cut from their texts; bytes of characters cut in half go too."""
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, spans in zip(b.column("text"), b.column("spans"), strict=True):
-                if not spans.is_valid or not text.is_valid:
-                    out.append(text.as_py())
-                    continue
-                raw = text.as_buffer().to_pybytes()
-                gone = removed_units(raw, spans, len(raw))
-                out.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "cut"])
+    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
+        there = b.column("text").is_valid().to_pylist()
+        cut = [_kept(t, m).decode("utf-8", "ignore") if ok else None for t, m, ok in zip(texts, masks, there, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("row"), pa.array(cut, pa.string())], ["row", "cut"])
 
     row = T.StructType([f for f in docs.schema.fields if f.name != "text"])
     schema = T.StructType([T.StructField("row", row), T.StructField("cut", T.StringType())])
-    cut = with_removed(docs, Units(False, window, gram), _resolve(window), finish, schema, SHARD, carry=True)
+    cut = with_removed(docs, Units(False, window, gram), _resolve(window), finish, schema, BLOCK, carry=True)
     return cut.select(*[F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
