@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.common import materialize
+from palisade.llm.common import materialize, text_name
 from palisade.llm.hashing import VALUES, grams, mix, prefix, sliding_min, stretches, word_bounds
 
 #: Fragments that a task holds at once, and contents it remembers; different fragments of one anchor in these that make
@@ -79,11 +79,6 @@ class Units:
         return (least[first], content, first, count, first, last) if start is None else (least[first], content, first, count, start[first], end[last - 1])
 
 
-def text_name(doc_id: Column, text: Column) -> Column:
-    """128 bits for an id with its text, null and empty texts alike."""
-    return F.unhex(F.substring(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))), 256), 1, 32))
-
-
 def _route(name: Column) -> Column:
     return F.xxhash64(name)
 

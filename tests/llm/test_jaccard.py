@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
+from test_repeats import morse
 
 from palisade.llm.components import components
-from palisade.llm.jaccard import matched_depth, near_duplicates, one_of_each
+from palisade.llm.jaccard import LEVELS, labels, matched_depth, near_duplicates, one_of_each, shingles, shortened, target_depth
 
-LAST = 1 << 63
+LAST = 1 << 64
 
 
 def shingle_set(t):
@@ -32,7 +34,9 @@ def corpus(seed):
         w[rng.randrange(150)] = f"e{i}"
         out.append((10_000 + i, " ".join(w)))
     out += [(20_000 + i, out[0][1]) for i in range(30)]
-    out += [(1, None), (3, ""), (5, " "), (None, out[1][1]), (out[2]), (out[2][0], "a b c d e f g"), (7, "A b"), (9, "A  b")]
+    x, y = morse(2048)
+    out += [(30_000, " ".join([x] * 5)), (30_001, " ".join([y] * 5)), (30_002, f"{x} {y} {x} {y} {x} u v w"), (30_003, f"{y} {x} {y} {x} {y} u v w")]
+    out += [(1, None), (3, ""), (5, " "), (None, out[1][1]), (out[2]), (out[2][0], "a b c d e f g"), (7, "A b"), (9, "A  b"), ((1 << 63) - 1, "one of a kind"), ((1 << 63) - 1, None)]
     rng.shuffle(out)
     return out
 
@@ -81,6 +85,59 @@ def test_empty(spark):
 def test_depth():
     assert matched_depth(0.8) == 5
     assert 1 - (1 - 0.8**5) ** 32 > 0.99999
+    for n in range(1, 60):  # the least similarity that a set of n can have with another one
+        every = [i / (n + m - i) for m in range(1, 2 * n + 2) for i in range(min(n, m) + 1) if 5 * i >= 4 * (n + m - i) and not i == m == n]
+        assert target_depth(n) == (matched_depth(min(every)) if every else LEVELS + 1)
+    assert [target_depth(n) for n in (1, 3, 4, 7, 2000)] == [9, 9, 5, 7, 5]
+
+
+def test_shortening():
+    """Prefixes are shortened only where a class still looks for partners."""
+    word = lambda *x: int.from_bytes(bytes(x), "big")
+    a, b = word(1, 2, 3, 4, 5, 6, 7, 8), word(1, 2, 3, 4, 5, 6, 7, 9)
+    c, d = word(1, 2, 3, 4, 5, 9, 9, 9), word(1, 2, 3, 4, 9, 9, 9, 9)
+    label, cls = np.array([a, a, b, c, d], np.uint64), np.array([50, 10, 20, 30, 40])
+    met = lambda until: sorted(map(tuple, shortened(np.zeros(5, np.int64), label, cls, np.array(until))[0].tolist()))
+    assert met([8] * 5) == [(50, 10)]
+    assert met([7] * 5) == [(20, 10), (50, 10)]
+    assert met([5] * 5) == [(20, 10), (30, 10), (50, 10)]
+    assert met([8, 8, 7, 8, 8]) == [(20, 10), (50, 10)]  # one that looks on meets those that don't
+    assert met([8, 8, 8, 8, 4]) == [(20, 10), (30, 10), (40, 10), (50, 10)]
+    assert met([9] * 5) == []
+    assert shortened(np.arange(5), label, cls, np.full(5, 5))[0].tolist() == []
+    # the same candidates whether tries are built at once or in parts
+    rng = np.random.default_rng(2)
+    label, cls, tree = rng.integers(0, 3, (400, 8)).astype(np.uint8).view(">u8")[:, 0].astype(np.uint64), rng.permutation(400), rng.integers(0, 2, 400)
+    until = rng.integers(3, 9, 400)
+
+    def groups(pairs):
+        root = list(range(400))
+        find = lambda x: x if root[x] == x else find(root[x])
+        for x, y in pairs:
+            root[max(find(x), find(y))] = min(find(x), find(y))
+        return [find(i) for i in range(400)]
+
+    whole = shortened(tree, label, cls, until)[0].tolist()
+    brute_ = [(cls[i], cls[j]) for i in range(400) for j in range(i) if tree[i] == tree[j] and any(label[i] >> np.uint64(8 * (8 - k)) == label[j] >> np.uint64(8 * (8 - k)) for k in range(min(until[i], until[j]), 9))]
+    assert groups(whole) == groups(brute_)
+
+
+def test_recall():
+    """Pairs at the threshold meet at the depth that they look to."""
+    rng = random.Random(9)
+    missed = total = 0
+    for _ in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        other = base[:94] + [f"v{rng.randrange(10**6)}" for _ in range(10)]
+        a, b = shingles(" ".join(base).encode()), shingles(" ".join(other).encode())
+        similarity = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert similarity >= 0.8
+        depth = target_depth(len(a))
+        x, y = labels(a), labels(b)
+        shift = np.uint64(8 * (LEVELS - depth))
+        missed += not (x >> shift == y >> shift).any()
+        total += 1
+    assert missed == 0 and total == 300
 
 
 def test_components(spark):
