@@ -5,8 +5,9 @@ prefix sums (per key range first, then inside each range), and each source is cu
 the source's size repeats whole epochs first. Only DataFrame functions; no task ever holds a whole source.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source of size 0 has
-target 0 and takes nothing; repeated rows are documents of their own (equal rows are interchangeable, so reruns agree);
-an empty table gives an empty mix; other columns are ignored by `mix` and kept by `mixed_documents`.
+target 0 and takes nothing; a null id has a key of its text; texts of any length count whole; ties of keys go by id, then
+size, and rows equal in these are interchangeable, so reruns agree; repeated rows are documents of their own; an empty
+table gives an empty mix; other columns are ignored by `mix` and kept by `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialize, n_words
+from palisade.llm.common import materialize, n_words, rest_of_row, text_name
 
 #: Hex digits of the key that name its range: 16**3 ranges a source.
 RANGE_DIGITS = 3
@@ -59,7 +60,8 @@ def mix(docs: DataFrame, seed: str = "mix", cycle: int = 3, cap: int = 3, whole:
     carried = [row.alias("row")] if row is not None else []
     slim = docs.select(
         "doc_id", n_words(F.col("text")).alias("size"), _source_key(F.col("source")).alias("sk"), *carried,
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        # rows without an id are dealt by their text
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col("text"), F.lit("")))))).alias("key"),
     )
     slim = materialize(slim.withColumn("range", F.substring("key", 1, RANGE_DIGITS)))
 
@@ -84,12 +86,12 @@ def mix(docs: DataFrame, seed: str = "mix", cycle: int = 3, cap: int = 3, whole:
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: docs with each row repeated as often as the mix takes it (not at all: gone). Documents stay
     whole, and one with no words goes. All columns are kept, whatever their names."""
-    key = F.xxhash64("doc_id", "text", "source")
+    key = text_name(F.to_json(F.struct("doc_id", "source")), F.col("text"))
     times = mix(docs.select("doc_id", "text", "source"), seed, whole=True, row=key).filter("taken > 0")
     times = times.groupBy(F.col("row").alias("k")).agg(F.sum(F.expr("taken div size")).alias("times"), F.count("*").alias("rows"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
-    # equal rows share their times: the first ones get what doesn't divide
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), rest_of_row(docs.columns, "doc_id", "text", "source").alias("rest"))
+    # rows equal in id, text and source share their times: the first ones, by their other columns, get what doesn't divide
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("rest"))
     found = packed.withColumn("nth", nth).join(times, F.col("key") == F.col("k"))
     share = F.expr("times div rows + if(nth <= times % rows, 1, 0)")
     return found.filter(share > 0).select("row", F.explode(F.array_repeat(F.lit(1), share.cast("int"))).alias("copy")).select("row.*")

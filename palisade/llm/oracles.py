@@ -47,9 +47,11 @@ c0 AS (SELECT *, regexp_replace(t, '\p{{Ll}}+', '', 'g') AS t1 FROM d), c1 AS (S
 c3 AS (SELECT *, regexp_replace(t3, '\p{{N}}+', '', 'g') AS t4 FROM c2), c4 AS (SELECT *, regexp_replace(t4, '[.,;:!?''"()-]+', '', 'g') AS t5 FROM c3),
 f AS (SELECT c4.id, doc_id, lk, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
         length(t) AS n_chars, [length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5)] AS cls FROM c4 LEFT JOIN lines USING (id) LEFT JOIN covered USING (id)),
+good AS (SELECT *, greatest(1, least(10000, 10000 * 1000 // greatest(n_words, 1))) AS by_word, greatest(1, least(10000, 10000 * 6000 // greatest(n_chars, 1))) AS by_char
+  FROM (SELECT any_value(f.id) AS id, f.lk, any_value(n_words) AS n_words, any_value(n_chars) AS n_chars, any_value(cls) AS cls FROM f JOIN d USING (id) WHERE n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words GROUP BY f.lk, d.t)),
 short AS (SELECT id, lk, lower(x) AS word FROM (SELECT id, lk, unnest(w) AS x FROM d) WHERE length(x) <= 4),
-ref AS (SELECT lk, sum(n_words) AS words, sum(n_chars) AS chars, sum(cls[1]) AS s1, sum(cls[2]) AS s2, sum(cls[3]) AS s3, sum(cls[4]) AS s4, sum(cls[5]) AS s5, sum(cls[6]) AS s6 FROM f GROUP BY lk HAVING sum(n_words) >= 5000),
-common AS (SELECT lk, word, share FROM (SELECT s.lk, word, count(*) / any_value(words) AS share, row_number() OVER (PARTITION BY s.lk ORDER BY count(*) DESC, word) AS nth FROM short s JOIN ref USING (lk) GROUP BY s.lk, word HAVING count(*) >= 0.0005 * any_value(words)) WHERE nth <= 24),
+ref AS (SELECT lk, sum(n_words * by_word) AS words, sum(list_sum(cls) * by_char) AS chars, sum(cls[1] * by_char) AS s1, sum(cls[2] * by_char) AS s2, sum(cls[3] * by_char) AS s3, sum(cls[4] * by_char) AS s4, sum(cls[5] * by_char) AS s5, sum(cls[6] * by_char) AS s6 FROM good GROUP BY lk HAVING sum(n_words) >= 5000),
+common AS (SELECT lk, word, share FROM (SELECT s.lk, word, sum(by_word) / any_value(words) AS share, row_number() OVER (PARTITION BY s.lk ORDER BY sum(by_word) DESC, word) AS nth FROM short s JOIN good USING (id) JOIN ref ON ref.lk = s.lk GROUP BY s.lk, word HAVING sum(by_word) >= 0.0005 * any_value(words)) WHERE nth <= 24),
 seen AS (SELECT id, word, count(*) AS n FROM short GROUP BY ALL),
 both_words AS (SELECT f.id, c.word, coalesce(seen.n, 0) / n_words AS p, share AS q FROM f JOIN common c USING (lk) LEFT JOIN seen ON seen.id = f.id AND seen.word = c.word WHERE n_words >= 60
   UNION ALL SELECT f.id, NULL, greatest(0, 1 - sum(coalesce(seen.n, 0) / n_words)), greatest(0, 1 - sum(share)) FROM f JOIN common c USING (lk) LEFT JOIN seen ON seen.id = f.id AND seen.word = c.word WHERE n_words >= 60 GROUP BY f.id),

@@ -3,9 +3,10 @@
 A document is a bag of passages of PASSAGE words. Every passage is encoded by shares of character kinds, word shapes,
 repeats and hashed byte pairs; a gated attention learns from document labels alone which passages matter, and the
 weighted mean of the encoded passages is classified. The model is small and is trained on a sample of labelled rows that
-is bounded by ROWS_A_LABEL rows a label and BAG passages a document, spread evenly over it; every whole text is scored.
+is bounded by ROWS_A_LABEL rows and PASSAGES_A_LABEL passages a label: rows are taken in order of a hash, each with all of
+its passages, while they fit. Every whole text is scored.
 
-Defined cases: null and empty texts are one empty passage; labels that are null or contradict each other teach nothing;
+Defined cases: null and empty texts are one empty passage; of rows that share an id the least text teaches; labels that are null or contradict each other teach nothing;
 without rows of both labels every score is 0.5; repeated rows get equal scores; an empty table gives an empty result;
 other columns are ignored, and lang, source and ids are never inputs.
 """
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.llm.common import n_words
 from palisade.llm.hashing import mix, word_bounds, word_hashes
 
 PASSAGE, PAIRS, HIDDEN, ATTENTION = 64, 48, 24, 12
-ROWS_A_LABEL, BAG, EPOCHS, SEED = 4000, 64, 30, 3
+ROWS_A_LABEL, PASSAGES_A_LABEL, EPOCHS, SEED = 4000, 100_000, 30, 3
 
 _KIND = np.full(256, 5)  # lower, upper, digit, mark, sign, other (bytes of other scripts)
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
@@ -134,8 +136,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def bags(docs: DataFrame, labels: DataFrame, rows: int, seed: int) -> pd.DataFrame:
-    """label and encoded passages of the training sample: up to rows documents a label, chosen by hash."""
+def bags(docs: DataFrame, labels: DataFrame, rows: int, seed: int, passages: int = PASSAGES_A_LABEL) -> pd.DataFrame:
+    """label and encoded passages of the training sample: up to rows documents a label, in order of a hash, while their
+    passages fit in the bound. Of rows that share an id the one with the least text teaches."""
     sure = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).filter("label = most")
     key = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     chosen = sure.filter("label = 0").orderBy(*key).limit(rows).unionByName(sure.filter("label = 1").orderBy(*key).limit(rows)).select(F.col("doc_id").cast("long").alias("id"), "label")
@@ -145,23 +148,23 @@ def bags(docs: DataFrame, labels: DataFrame, rows: int, seed: int) -> pd.DataFra
             out = []
             for text in b.column("text"):
                 raw = text.as_buffer()
-                x = encode(b"" if raw is None else raw.to_pybytes())
-                if len(x) > BAG:
-                    x = x[np.linspace(0, len(x) - 1, BAG).astype(int)]
-                out.append(x.tobytes())
+                out.append(encode(b"" if raw is None else raw.to_pybytes()).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(out, pa.binary())], ["id", "label", "bag"])
 
-    # the sample is bounded by its two limits
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "label", "text")
-    return found.mapInArrow(run, "id long, label int, bag binary").toPandas().sort_values(["id", "bag"], ignore_index=True).drop_duplicates("id")
+    # the sample is bounded by its limits: few rows enter the windows, and few passages leave them
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
+    found = found.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    held = F.sum(F.ceil(F.greatest(n_words(F.col("text")), F.lit(1)) / PASSAGE)).over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
+    found = found.withColumn("held", held).filter(F.col("held") <= passages).select("id", "label", "text")
+    return found.mapInArrow(run, "id long, label int, bag binary").toPandas().sort_values("id", ignore_index=True)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_A_LABEL, seed: int = SEED) -> Attention | None:
-    sample = bags(docs, labels, rows, seed)
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_A_LABEL, seed: int = SEED, passages: int = PASSAGES_A_LABEL) -> Attention | None:
+    sample = bags(docs, labels, rows, seed, passages)
     if sample["label"].nunique() < 2:
         return None
     rng = np.random.default_rng(seed)
-    return Attention(WIDTH, rng).fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in sample["bag"]], sample["label"].to_numpy(float), rng)
+    return Attention(WIDTH, rng).fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in sample["bag"]], sample["label"].to_numpy(float), rng)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = ROWS_A_LABEL, seed: int = SEED) -> DataFrame:

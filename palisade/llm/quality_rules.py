@@ -2,7 +2,8 @@
 
 Each document's histogram of character classes and of common short words is compared with the reference of its
 language by Jensen-Shannon distance. References are sums over the distinct texts of the language that pass the
-base rules: the shares of the classes, and of the most common words of up to COMMON_LENGTH characters. Copies count once
+base rules: the shares of the classes, and of the most common words of up to Rules.common_length characters (function
+words are short; None takes words of any length, at the price of the whole text once more). Copies count once
 and a text weighs MOST_WORDS and MOST_CHARS at most, so no hot or huge document becomes the language. A histogram judges
 only documents, and is judged only by references, of a minimum length. Base rules on length and repetition come first.
 DataFrame functions only.
@@ -20,11 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialize, words
+from palisade.llm.common import materialize, text_name, words
 
 #: Character classes in order of counting; what is left over is the last class.
 CLASSES = {"lower": r"\p{Ll}+", "blank": r"[\x20\x09-\x0D]+", "upper": r"\p{Lu}+", "digit": r"\p{N}+", "mark": r"[.,;:!?'\"()-]+"}
-COMMON_LENGTH = 4
 #: A longer text weighs no more than this in the references: its words and characters count in parts of UNIT, so sums
 #: are of whole numbers and don't depend on order.
 MOST_WORDS, MOST_CHARS, UNIT = 1000, 6000, 10_000
@@ -43,6 +43,7 @@ class Rules:
     min_words_judged: int = 60
     min_reference_words: int = 5000
     common_words: int = 24
+    common_length: int | None = 4
     #: A common word makes up this share of its language's words at least, so a language has 1 / share of them at most.
     common_share: float = 0.0005
 
@@ -91,6 +92,7 @@ def features(docs: DataFrame, rules: Rules = Rules(), *carried: str) -> DataFram
     """doc_id, the base features, class counts, and the short words of each whole text."""
     t = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split("t", "\n"), lambda line: F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")) > 0)
+    counted = F.col("w") if rules.common_length is None else F.filter("w", lambda x: F.char_length(x) <= rules.common_length)
     df = docs.select("doc_id", F.coalesce(F.concat(F.lit("a"), F.col("lang")), F.lit("n")).alias("lk"), t.alias("t"), *carried)
     df = df.withColumn("w", words(F.col("t"))).withColumn("lines", lines)
     df = df.select(
@@ -99,7 +101,7 @@ def features(docs: DataFrame, rules: Rules = Rules(), *carried: str) -> DataFram
         (F.char_length("t") - F.char_length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("w"), rules.repeat_window).alias("n_repeat_words"),
-        F.lower(F.concat(F.lit(" "), F.concat_ws("  ", F.filter("w", lambda x: F.char_length(x) <= COMMON_LENGTH)), F.lit(" "))).alias("short"),
+        F.lower(F.concat(F.lit(" "), F.concat_ws("  ", counted), F.lit(" "))).alias("short"),
     )
     for name, pattern in CLASSES.items():  # each pass leaves less to look at
         df = df.withColumn("next", F.regexp_replace("rest", pattern, ""))
@@ -159,9 +161,9 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def kept_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, all columns. The verdict is a function of text and language, so it is
-    joined by a hash of these and the id, once for equal rows."""
+    joined by 128 bits of these and the id, once for equal rows."""
     names = docs.columns
-    key = F.xxhash64("doc_id", "text", "lang")
+    key = text_name(F.to_json(F.struct("doc_id", "lang")), F.col("text"))
     found = materialize(features(docs.select("doc_id", "text", "lang", key.alias("key")), rules, "key"))
     kept = judged(found, rules).filter("kept").select(F.col("key").alias("kept_key")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("key"))

@@ -87,7 +87,7 @@ SQL: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                    CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS sk,
-                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(text, ''))) AS key
             FROM documents),
         s AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sk),
         w AS (SELECT *, (row_number() OVER (ORDER BY sk) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),

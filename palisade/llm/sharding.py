@@ -1,11 +1,11 @@
 """Sharding along a Hilbert curve.
 
-Several metadata dimensions are quantised, the rows are range-sorted by their index on the Hilbert curve through that
+Several metadata dimensions are quantised, in order, the rows are range-sorted by their index on the Hilbert curve through that
 grid, and the sorted run is cut into shards of equal row counts (at most one apart), so that neighbouring rows in every
 dimension meet in one shard and files can be pruned by any of them.
 
-Defined cases: a null text has no bytes and the checksum of the empty string; null metadata take cell 0; equal rows are
-interchangeable; an empty table has no shards in use; fewer rows than shards leave shards empty; other columns are
+Defined cases: a null text has no bytes and the checksum of the empty string; null metadata take cell 0; sizes of any
+text, however long, have a cell of their half octave; equal rows are interchangeable; an empty table has no shards in use; fewer rows than shards leave shards empty; other columns are
 ignored.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import materialize
@@ -55,26 +55,35 @@ def hilbert_column(cells: list[Column], bits: int) -> Column:
     return index(*cells)
 
 
-def name_cell(name: Column, bits: int) -> Column:
-    """Order-free cell of a name; equal names share one."""
-    return F.when(name.isNull(), 0).otherwise(F.pmod(F.xxhash64(name), F.lit(1 << bits))).cast("int")
+def name_cells(docs: DataFrame, column: str, bits: int) -> DataFrame:
+    """name, cell: names in order share the cells 1 and up by their rows, so that equal shares of the rows lie in equal
+    ranges of cells. A row a name, so the window is as small as names are few."""
+    counts = docs.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("rows")).filter("name IS NOT NULL")
+    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (1 << bits) - 1
+    placed = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).withColumn("total", F.sum("rows").over(Window.partitionBy()))
+    # written, so Spark knows its size and broadcasts it only if that is small
+    return materialize(placed.select("name", (1 + F.expr(f"before * {cells}L div total")).cast("int").alias("cell")))
 
 
-def size_cell(size: Column, bits: int) -> Column:
-    """Half-octave cell of a size."""
-    return F.least(F.lit((1 << bits) - 1), F.floor(2 * F.log2(size + 1))).cast("int")
+def size_cell(size: Column) -> Column:
+    """Half-octave cell of a size: below 64 for any size that a text can have."""
+    return F.floor(2 * F.log2(size + 1)).cast("int")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 5) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null) and curve, the Hilbert index.
 
-    Dimensions: source, language and size. Global ranks come from one range sort: row numbers inside each range
+    Dimensions: source, language and size, in cells of at least 6 bits that keep their order. Global ranks come from one range sort: row numbers inside each range
     partition plus the counts of the partitions before it, a table of one row a partition.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    slim = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), name_cell(F.col("source"), bits).alias("a"), name_cell(F.col("lang"), bits).alias("b"), size_cell(size, bits).alias("c"))
+    slim = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source", "lang", size_cell(size).alias("c"))
+    for column, cell in (("source", "a"), ("lang", "b")):
+        names = name_cells(docs, column, bits).select(F.col("name").alias(column), F.col("cell").alias(cell))
+        slim = slim.join(names, column, "left").fillna(0, [cell])
     curved = slim.select("doc_id", "size", "text_crc32", hilbert_column([F.col("a"), F.col("b"), F.col("c")], bits).alias("curve"))
     order = ["curve", "tie", "doc_id", "size", "text_crc32"]
     curved = materialize(curved.withColumn("tie", F.xxhash64("doc_id")))  # spreads the rows of one crowded cell

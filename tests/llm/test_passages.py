@@ -1,11 +1,12 @@
 """The passage classifier: gradients, held-out accuracy, odd rows."""
 
+import math
 import random
 import zlib
 
 import numpy as np
 
-from palisade.llm.passages import Attention, encode, quality_scores
+from palisade.llm.passages import WIDTH, Attention, bags, encode, quality_scores, train
 
 
 def test_gradients():
@@ -69,3 +70,34 @@ def test_odd_rows(spark):
     got = quality_scores(docs, labels).collect()
     assert len(got) == 5 and all(r.score == 0.5 and r.predicted == 1 for r in got)
     assert quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_score_by_single_passages(spark):
+    """The score from the formulas, one passage and one unit at a time."""
+    docs, labels = corpus(60)
+    model = train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    p = model.p
+    for _, text in docs[:12]:
+        x = encode(text.encode())
+        hidden, weight = [], []
+        for row in x:
+            h = [math.tanh(sum((float(row[i]) - float(model.mean[i])) / float(model.scale[i]) * p["E"][i, j] for i in range(WIDTH)) + p["e"][j]) for j in range(len(p["e"]))]
+            gate = [math.tanh(sum(h[j] * p["V"][j, k] for j in range(len(h)))) / (1 + math.exp(-sum(h[j] * p["U"][j, k] for j in range(len(h))))) for k in range(len(p["w"]))]
+            hidden.append(h)
+            weight.append(math.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+        z = [sum(w * h[j] for w, h in zip(weight, hidden, strict=True)) / sum(weight) for j in range(len(p["c"]))]
+        want = 1 / (1 + math.exp(-sum(a * c for a, c in zip(z, p["c"], strict=True)) - p["b"][0]))
+        assert abs(model.score(x, np.zeros(1, np.int64))[0] - want) < 1e-5
+
+
+def test_sample_is_whole_documents(spark):
+    docs, labels = corpus(200)
+    docs.append((1000, "long " * 6400))
+    labels.append((1000, 1))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    size = dict((i, len(encode(t.encode()))) for i, t in docs)
+    every = bags(d, q, 10_000, 3)
+    assert set(every["id"]) == {i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert all(len(b) == size[i] * WIDTH * 4 for i, b in zip(every["id"], every["bag"], strict=True))
+    few = bags(d, q, 10_000, 3, passages=50)
+    assert all(few[few["label"] == k]["id"].map(size).sum() <= 50 for k in (0, 1)) and set(few["id"]) < set(every["id"])

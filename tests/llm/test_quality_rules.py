@@ -96,3 +96,15 @@ def test_hot_texts(spark):
         assert [i for i in range(120) if not kept[i]] == [], hot[0][:20]
         assert not any(kept[i] for i in kept if i >= 200), hot[0][:20]
         assert {r.doc_id for r in kept_documents(docs).collect()} == set(range(120))
+
+
+def test_words_of_any_length(spark):
+    """Rules.common_length: texts whose long words alone are foreign differ only where these count."""
+    rng = random.Random(21)
+    short, own, foreign = ["of", "the", "and", "to", "in"], [f"ownword{i}" for i in range(12)], [f"foreign{i}" for i in range(12)]
+    make = lambda pool: " ".join(w for _ in range(60) for w in (rng.choice(short), rng.choice(pool)))
+    rows = [(i, make(own), "xx") for i in range(120)] + [(500 + i, make(foreign), "xx") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = {r.doc_id: r.word_distance for r in quality(docs).collect()}
+    all_ = {r.doc_id: r.word_distance for r in quality(docs, Rules(common_length=None)).collect()}
+    assert max(few[i] for i in range(500, 504)) < 0.2 and min(all_[i] for i in range(500, 504)) > 0.5 and max(all_[i] for i in range(120)) < 0.3
