@@ -1,8 +1,8 @@
 """RE2 patterns for the JVM's engine.
 
-The rules' patterns mean bytes and ASCII classes. Text is decoded as ISO-8859-1, a character a byte, and the places
-where java.util.regex reads a pattern differently are rewritten: word boundaries and blanks are ASCII, `$` is the very
-end, a dot stops at newlines only.
+The rules' patterns mean code points and ASCII classes, and case-blind ones fold as Unicode does. The places where
+java.util.regex reads a pattern differently are rewritten: word boundaries and blanks are ASCII, `$` is the very end, a
+dot stops at newlines only.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _WORD_NEXT = re.compile(r"(?:\((?:\?:)?)*(?:\w|\\[dw])")
 @cache
 def jvm(pattern: str) -> str:
     """The pattern for java.util.regex."""
-    out, i, inside = ["(?d)"], 0, False
+    out, i, inside = ["(?du)"], 0, False
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":

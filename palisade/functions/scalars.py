@@ -1,7 +1,11 @@
-"""Scalar functions over contents, addresses, hosts and names. Text is ISO-8859-1, a character a byte."""
+"""Scalar functions over contents, addresses, hosts and names.
+
+Text is UTF-8, and a byte that is no part of a character counts as one. Lengths in rules are of bytes.
+"""
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 
@@ -16,7 +20,25 @@ from palisade.functions.paths import any_of, contains_any, ends_any, is_home_sco
 from palisade.functions.regex import all_matches, matches
 
 
+def _mend(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+@F.pandas_udf(T.StringType())
+def mended(contents: pd.Series) -> pd.Series:
+    """Bytes that aren't UTF-8 throughout; each stray one as U+FFFD. The JVM would take several as one, hence Python."""
+    codecs.register_error("stray", _mend)
+    return contents.map(lambda c: None if c is None else bytes(c).decode("utf-8", "stray"))
+
+
 def as_text(content: Column) -> Column:
+    """Contents as text."""
+    text = content.cast("string")
+    sound = F.is_valid_utf8(text)
+    return F.when(sound, text).otherwise(mended(F.when(~sound, content)))
+
+
+def bytes_as_characters(content: Column) -> Column:
     """Bytes as characters of the same numbers."""
     return F.decode(content, "ISO-8859-1")
 
@@ -39,31 +61,33 @@ def max_line_length(text: Column) -> Column:
     return F.array_max(F.transform(F.split(text, "\n"), lambda line: F.octet_length(line)))
 
 
-def max_line_bytes(text: Column) -> Column:
-    """The longest line of ISO-8859-1 text, in bytes."""
-    return F.array_max(F.transform(F.split(text, "\n"), lambda line: F.char_length(line)))
+def max_line_bytes(content: Column) -> Column:
+    """The longest line of a file, in bytes."""
+    return F.array_max(F.transform(F.split(bytes_as_characters(content), "\n"), lambda line: F.char_length(line)))
 
 
-def is_minified(text: Column) -> Column:
-    return max_line_bytes(text) > 2000
+def is_minified(content: Column) -> Column:
+    return max_line_bytes(content) > 2000
 
 
 def is_binary(content: Column) -> Column:
-    return F.instr(as_text(F.substring(content, 1, 8000)), "\0") > 0
+    return F.instr(bytes_as_characters(F.substring(content, 1, 8000)), "\0") > 0
 
 
-def is_printable(text: Column) -> Column:
-    """No NUL, and 90 of 100 characters are printable ASCII or common blanks."""
-    size = F.char_length(text)
+def is_printable(content: Column) -> Column:
+    """No NUL, and 90 of 100 bytes are printable ASCII or common blanks."""
+    text = bytes_as_characters(content)
+    size = F.octet_length(content)
     shown = size - F.char_length(F.regexp_replace(text, r"[\x20-\x7e\n\r\t]", ""))
     return (size > 0) & (F.instr(text, "\0") == 0) & (F.floor(shown * 100 / size) >= 90)
 
 
 def decoded_network_indicator(text: Column) -> Column:
     """The first of 60 base64 literals that decodes to readable text with an address, that text; else null."""
-    found = F.transform(all_matches(text, fixed.B64_LITERAL, 1, 60), lambda x: F.when((F.length(x) <= 8192) & (F.length(x) % 4 == 0), F.decode(F.try_to_binary(x, F.lit("base64")), "ISO-8859-1")))
-    good = F.filter(found, lambda x: x.isNotNull() & is_printable(x) & matches(x, fixed.URL_OR_IP))
-    return F.regexp_replace(F.get(good, F.lit(0)), r"\A[\s\x85\xA0]+|[\s\x85\xA0]+\z", "")
+    found = F.transform(all_matches(text, fixed.B64_LITERAL, 1, 60), lambda x: F.when((F.length(x) <= 8192) & (F.length(x) % 4 == 0), F.try_to_binary(x, F.lit("base64"))))
+    # what is printable for the most part is matched as text; a stray byte can't be part of a URL or an address
+    good = F.filter(found, lambda x: x.isNotNull() & is_printable(x) & matches(x.cast("string"), fixed.URL_OR_IP))
+    return F.regexp_replace(F.get(good, F.lit(0)).cast("string"), r"\A[\s\x85\xA0]+|[\s\x85\xA0]+\z", "")
 
 
 _QUOTED = re.compile(fixed.QUOTED_STRING)
@@ -74,7 +98,7 @@ _ROLE = re.compile(fixed.NET_ROLE_BEFORE.replace(r"\s", r"[\t\n\f\r ]").replace(
 @F.pandas_udf(T.StringType())
 def strip_long_literals(texts: pd.Series) -> pd.Series:
     """String literals of over 200 bytes as empty ones. A callback on matches, hence Python; setup files only."""
-    return texts.map(lambda t: None if t is None else _QUOTED.sub(lambda m: '""' if len(m.group()) > 200 else m.group(), t))
+    return texts.map(lambda t: None if t is None else _QUOTED.sub(lambda m: '""' if len(m.group().encode()) > 200 else m.group(), t))
 
 
 def public_address(a: int, b: int, c: int, d: int) -> bool:
@@ -95,7 +119,7 @@ def hardcoded_endpoint(texts: pd.Series) -> pd.Series:
             if n == 200:
                 return None
             octets = m.groups()
-            if public_address(*map(int, octets)) and _ROLE.search(text[max(0, m.start() - 24) : m.start()]):
+            if public_address(*map(int, octets)) and _ROLE.search(text[max(0, m.start() - 24) : m.start()].encode()[-24:].decode("utf-8", "replace")):
                 return ".".join(octets)
         return None
 
@@ -118,12 +142,30 @@ def is_public_ip(address: Column) -> Column:
     return F.coalesce(shape & ~outside, F.lit(False))
 
 
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_QUAD = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+#: What an IPv6 address that stands for an IPv4 one begins with.
+_MAPPED = r"(?:(?:0{1,4}:){5}|::(?:0{1,4}:){0,4}|(?:0{1,4}:){1,4}:(?:0{1,4}:){0,3})ffff:"
+
+
+def as_ipv4(address: Column) -> Column:
+    """The dotted quad that an address is or stands for (as sockets of both kinds report it), else null."""
+    low = F.lower(address)
+    half = lambda g: F.conv(F.regexp_extract(low, rf"\A{_MAPPED}([0-9a-f]{{1,4}}):([0-9a-f]{{1,4}})\z", g), 16, 10).cast("int")
+    pairs = [F.shiftright(half(1), 8), half(1).bitwiseAND(255), F.shiftright(half(2), 8), half(2).bitwiseAND(255)]
+    return (
+        F.when(address.rlike(rf"\A{_QUAD}\z"), address)
+        .when(low.rlike(rf"\A{_MAPPED}{_QUAD}\z"), F.substring_index(low, ":", -1))
+        .when(low.rlike(rf"\A{_MAPPED}[0-9a-f]{{1,4}}:[0-9a-f]{{1,4}}\z"), F.concat_ws(".", *pairs))
+    )
+
+
 def is_routable_public_ip(address: Column) -> Column:
-    """The behaviour rules' test: routable, and no well-known resolver. Octets have no leading zeros."""
-    a, b, c, _ = _octets(address)
-    octet = r"(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-    shape = address.rlike(rf"\A{octet}(\.{octet}){{3}}\z")
-    outside = any_of([a.isin(10, 127), a >= 224, (a == 172) & b.between(16, 31), (a == 192) & (b == 168), (a == 169) & (b == 254), (a == 100) & b.between(64, 127), (a == 192) & (b == 0) & (c == 2), (a == 198) & (b == 51) & (c == 100), (a == 203) & (b == 0) & (c == 113), address == "0.0.0.0", address.isin(fixed.PUBLIC_RESOLVERS)])
+    """The behaviour rules' test: routable, and no well-known resolver by its usual name."""
+    quad = as_ipv4(address)
+    a, b, c, _ = _octets(quad)
+    shape = quad.isNotNull()
+    outside = any_of([a.isin(10, 127), a >= 224, (a == 172) & b.between(16, 31), (a == 192) & (b == 168), (a == 169) & (b == 254), (a == 100) & b.between(64, 127), (a == 192) & (b == 0) & (c == 2), (a == 198) & (b == 51) & (c == 100), (a == 203) & (b == 0) & (c == 113), quad == "0.0.0.0", address.isin(fixed.PUBLIC_RESOLVERS)])
     return F.coalesce(shape & ~outside, F.lit(False))
 
 
@@ -174,6 +216,7 @@ def is_ephemeral_tunnel(host: Column) -> Column:
 def looks_executable_path(path: Column) -> Column:
     """A place to drop payloads in, and a script's ending or none."""
     p = F.lower(path)
+    # Fixed values.
     place = contains_any(p, ["/tmp/", "/dev/shm/", "/var/tmp/"]) | is_home_scoped(p)
     return place & (ends_any(p, [".sh", ".py", ".elf", ".bin", ".out"]) | ~F.substring_index(p, "/", -1).contains("."))
 
@@ -186,6 +229,7 @@ def classify_read(path: Column) -> Column:
     """Struct class, severity of a sensitive path, or null. The first line that holds decides."""
     p = F.lower(path)
     home = is_home_scoped(p)
+    # Fixed values.
     rules = [
         (home & contains_any(p, ["/.aws/credentials", "/.aws/config"]), "aws-credentials", "high"),
         (home & p.contains("/.ssh/id_"), "ssh-private-key", "high"),
@@ -205,6 +249,7 @@ def classify_read(path: Column) -> Column:
 def classify_write(path: Column) -> Column:
     """Struct rule, severity, description, or null."""
     p = F.lower(path)
+    # Fixed values.
     persistent = any_of([
         contains_any(p, ["/etc/cron", "/var/spool/cron", "crontab", "/etc/systemd/system/", "/lib/systemd/system/", "/.config/systemd/user/", "/.config/autostart/", "/.git/hooks/"]),
         p.endswith("/.ssh/authorized_keys"), p == "/etc/ld.so.preload", is_home_scoped(p) & ends_any(p, ["/.bashrc", "/.bash_profile", "/.profile", "/.zshrc", "/.zprofile"]),
@@ -261,11 +306,11 @@ def shell_recon_exfil(text: Column, low: Column) -> Column:
     return found(text, low, fixed.SHELL_RECON_EXFIL)
 
 
-def py_obfuscated(text: Column, low: Column) -> Column:
+def py_obfuscated(text: Column, low: Column, size: Column) -> Column:
     """eval of an escaped literal; or 40 escapes, over a quarter of the text, beside dynamic execution."""
     escapes = all_matches(text, fixed.ESCAPE_SEQUENCE, most=4000)
     escaped = F.char_length(F.array_join(escapes, ""))
-    dense = (F.size(escapes) >= 40) & matches(text, fixed.PY_DYN_EXEC) & (escaped / (F.char_length(text) + 1) > 0.25)
+    dense = (F.size(escapes) >= 40) & matches(text, fixed.PY_DYN_EXEC) & (escaped / (size + 1) > 0.25)
     return found(text, low, fixed.PY_ESCAPED_EVAL) | (likely(low, fixed.ESCAPE_SEQUENCE) & dense)
 
 
@@ -276,8 +321,8 @@ def external_install_fetch(text: Column, low: Column) -> Column:
     return F.when(low.contains("http") & found(text, low, fixed.NET_PRIMITIVE), F.get(hosts, F.lit(0)))
 
 
-def looks_obfuscated(text: Column, low: Column) -> Column:
-    return (F.char_length(text) >= 2000) & (max_line_bytes(text) >= 1000) & found(text, low, fixed.EVAL_MARKER)
+def looks_obfuscated(text: Column, low: Column, size: Column, longest: Column) -> Column:
+    return (size >= 2000) & (longest >= 1000) & found(text, low, fixed.EVAL_MARKER)
 
 
 def severity_rank(severity: Column) -> Column:

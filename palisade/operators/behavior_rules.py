@@ -14,8 +14,8 @@ from palisade.functions import scalars as S
 from palisade.functions.paths import base_name, is_package_churn
 from palisade.sources.scratch import cut
 
-#: Room for the findings of one kind in one phase, and of one phase.
-PER_KIND, PER_PHASE = 10**7, 10**9
+#: Room for the findings of one kind in one phase, more than an array can hold, and of one phase.
+PER_KIND, PER_PHASE = 10**10, 10**11
 PHASES = ["install", "import", "execute"]
 
 
@@ -24,26 +24,27 @@ EVENT = "kind string, pos long, path string, read boolean, write boolean, delete
 
 
 def events(traces: DataFrame) -> DataFrame:
-    """All entries of the traces in one pass: digest, ecosystem, phase, phase_ord and the columns of EVENT."""
+    """All entries of the traces in one pass: digest, ecosystem, phase, phase_ord and the columns of EVENT. pos is the
+    entry's place among all of its phase: files, sockets, commands, then queries."""
     fields = [c.split(" ") for c in EVENT.split(", ")]
 
-    def row(kind: str, pos: Column, **known: Column) -> Column:
-        known |= {"kind": F.lit(kind), "pos": pos.cast("long")}
-        return F.struct(*[(known[n] if n in known else F.lit(None)).cast(t).alias(n) for n, t in fields])
+    def row(kind: str, **known: Column) -> Column:
+        known |= {"kind": F.lit(kind)}
+        return F.struct(*[(known[n] if n in known else F.lit(None)).cast(t).alias(n) for n, t in fields if n != "pos"])
 
     flag = lambda c: F.coalesce(c, F.lit(False))
     each = lambda name, f: F.coalesce(F.transform(F.col("p")[name], f), F.array())
-    asked = lambda d, i: F.transform(d["Queries"], lambda q, j: row("dns", i * 10_000 + j, host=q["Hostname"]))
+    asked = lambda d: F.transform(d["Queries"], lambda q: row("dns", host=q["Hostname"]))
     rows = F.concat(
-        each("Files", lambda f, i: row("file", i, path=f["Path"], read=flag(f["Read"]), write=flag(f["Write"]), delete=flag(f["Delete"]))),
-        each("Sockets", lambda s, i: row("socket", i, address=s["Address"], port=s["Port"], hostnames=s["Hostnames"])),
-        each("Commands", lambda c, i: row("command", i, command=c["Command"])),
+        each("Files", lambda f: row("file", path=f["Path"], read=flag(f["Read"]), write=flag(f["Write"]), delete=flag(f["Delete"]))),
+        each("Sockets", lambda s: row("socket", address=s["Address"], port=s["Port"], hostnames=s["Hostnames"])),
+        each("Commands", lambda c: row("command", command=c["Command"])),
         F.flatten(F.coalesce(F.filter(F.transform(F.col("p.DNS"), asked), lambda x: x.isNotNull()), F.array())),
     )
     known = F.array_position(F.array(*[F.lit(x) for x in PHASES]), F.col("phase"))
     order = F.when(known > 0, known).otherwise(len(PHASES) + 1).cast("int")
     opened = traces.select("digest", "ecosystem", F.explode("trace.Analysis").alias("phase", "p"))
-    return opened.select("digest", "ecosystem", "phase", order.alias("phase_ord"), F.explode(rows).alias("e")).select("digest", "ecosystem", "phase", "phase_ord", "e.*")
+    return opened.select("digest", "ecosystem", "phase", order.alias("phase_ord"), F.posexplode(rows).alias("pos", "e")).select("digest", "ecosystem", "phase", "phase_ord", F.col("pos").cast("long").alias("pos"), "e.*")
 
 
 def _place(kind: int) -> Column:

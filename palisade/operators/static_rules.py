@@ -111,7 +111,7 @@ def content_rules(t: Column, low: Column) -> list[Column]:
         F.when(fetched, F.when(setup, finding("fetch", at(F.col("fetched")), 9)).otherwise(finding("fetch", at(F.col("fetched")), 9, gate=IN_HOOKS))),
         F.when(source & found(t, low, fixed.WEBHOOK), finding("webhook", at(first_match(t, fixed.WEBHOOK)), 10)),
         F.when(F.col("hex_obfuscated"), finding("obfuscated-js", path, 11)).when(F.col("py_obfuscated"), finding("obfuscated-py", path, 11)),
-        F.when(S.looks_obfuscated(t, low), finding("blob", path, 12)),
+        F.when(S.looks_obfuscated(t, low, F.col("size"), F.col("longest")), finding("blob", path, 12)),
     ]
 
 
@@ -120,9 +120,12 @@ def scanned(files: DataFrame) -> DataFrame:
     path, t, low = F.col("path"), F.col("text"), F.col("low")
     live = files.filter(~is_sbom(path) & ~is_package_metadata(path)).filter(~S.is_binary(F.col("content")))
     kinds = {"test_doc": is_test_or_doc, "data_config": is_data_config, "bundle": is_vendored_bundle, "build": is_build_tooling, "setup": is_setup_file}
-    flagged = live.withColumn("text", S.as_text(F.col("content"))).drop("content").withColumns({k: f(path) for k, f in kinds.items()}).withColumn("minified", S.is_minified(t)).withColumn("low", F.lower(t))
+    content = F.col("content")
+    flagged = live.withColumns({"text": S.as_text(content), "size": F.octet_length(content), "longest": S.max_line_bytes(content)}).drop("content")
+    # a long s folds to s, a case-blind pattern's partner that lower case doesn't reach
+    flagged = flagged.withColumns({k: f(path) for k, f in kinds.items()}).withColumn("minified", F.col("longest") > 2000).withColumn("low", F.translate(F.lower(t), "\u017f", "s"))
     code = F.when(~F.col("test_doc"), t)
-    costly = {"endpoint": S.hardcoded_public_endpoint(code), "encoded": S.decoded_network_indicator(code), "fetched": S.external_install_fetch(F.when(~F.col("bundle"), code), low), "hex_obfuscated": S.hex_obfuscated(t, low), "py_obfuscated": S.py_obfuscated(t, low)}
+    costly = {"endpoint": S.hardcoded_public_endpoint(code), "encoded": S.decoded_network_indicator(code), "fetched": S.external_install_fetch(F.when(~F.col("bundle"), code), low), "hex_obfuscated": S.hex_obfuscated(t, low), "py_obfuscated": S.py_obfuscated(t, low, F.col("size"))}
     return flagged.withColumns(costly)
 
 

@@ -86,7 +86,8 @@ class TextModel(Model):
     def prompt(self, evidence: DataFrame, findings: DataFrame) -> DataFrame:
         told = findings.groupBy("digest").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ord", "rule", "severity", "description", "evidence")))).alias("signals"))
         log = F.coalesce(as_text(F.col("behavior_log")), F.lit("null"))
-        return evidence.join(told, "digest", "left").withColumn("prompt", F.concat(F.lit('{"static_signals":'), F.coalesce("signals", F.lit("[]")), F.lit(',"source_excerpts":'), F.coalesce(F.to_json("excerpts"), F.lit("{}")), F.lit(',"behavior_log":'), log, F.lit("}")))
+        diff = F.to_json("diff") if "diff" in evidence.columns else F.lit(None).cast("string")
+        return evidence.join(told, "digest", "left").withColumn("prompt", F.concat(F.lit('{"static_signals":'), F.coalesce("signals", F.lit("[]")), F.lit(',"diff":'), F.coalesce(diff, F.lit("null")), F.lit(',"source_excerpts":'), F.coalesce(F.to_json("excerpts"), F.lit("{}")), F.lit(',"behavior_log":'), log, F.lit("}")))
 
     def judge(self, evidence: DataFrame, findings: DataFrame) -> DataFrame:
         return self.read(self.prompt(evidence, findings).select("digest", "prompt"))

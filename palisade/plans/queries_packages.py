@@ -2,8 +2,7 @@
 
 Twenty documents in a row are an artifact. Every document is a file with its whole text, and two in five get one line of
 a fixed list of harmless look-alikes (hosts end in .example or lie in test ranges), so that every rule has files to find.
-Each artifact has a package.json besides. The SQL of the package queries still leaves three in five documents out, and
-that of `behavior_verdicts` the installs whose events are all harmless, so these don't agree with the queries.
+Each artifact has a package.json besides.
 """
 
 from __future__ import annotations
@@ -72,8 +71,9 @@ def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILES = f"""
 WITH lines(n, path, line) AS (VALUES {", ".join(f"({i}, {_lit(p)}, {_lit(t)})" for i, (p, t) in enumerate(LINES))}),
 scripts(k, body) AS (VALUES {", ".join(f"({i}, {_lit(s)})" for i, s in enumerate(SCRIPTS))}),
-files AS (SELECT 'd' || doc_id // {PER} AS digest, CASE WHEN doc_id // {PER} % 3 = 2 THEN 'pypi' ELSE 'npm' END AS eco, n, path, CASE WHEN n = 0 THEN body ELSE text || chr(10) || line || chr(10) END AS t, doc_id // {PER} % {len(SCRIPTS)} AS k
-          FROM documents JOIN lines ON n = doc_id % {PER} JOIN scripts ON k = doc_id // {PER} % {len(SCRIPTS)} WHERE n = 0 OR (doc_id * 31 + doc_id // {PER} * 17) % 5 < 2),
+d AS (SELECT 'd' || doc_id // {PER} AS digest, CASE WHEN doc_id // {PER} % 3 = 2 THEN 'pypi' ELSE 'npm' END AS eco, doc_id % {PER} AS i, doc_id // {PER} % {len(SCRIPTS)} AS k, text, (doc_id * 31 + doc_id // {PER} * 17) % 5 < 2 AS has_line FROM documents),
+files AS (SELECT digest, eco, CASE WHEN i = 0 THEN {PER} ELSE i END AS n, CASE WHEN i = 0 THEN {_lit(BESIDE)} ELSE path END AS path, text || chr(10) || CASE WHEN has_line THEN line ELSE '' END || chr(10) AS t, k FROM d JOIN lines ON n = i
+          UNION ALL SELECT digest, eco, 0, 'package.json', body, d.k FROM d JOIN scripts ON scripts.k = d.k WHERE i = 0),
 wide AS (SELECT *, list_max([octet_length(encode(x)) FOR x IN string_split(t, chr(10))]) AS longest FROM files)"""
 
 
@@ -112,7 +112,7 @@ obfuscated AS (SELECT digest, min(n) AS n FROM hits WHERE family = 'obfuscated'
 blobs AS (SELECT l.digest, 'obfuscated-blob' AS rule, 'info' AS severity FROM live l LEFT JOIN obfuscated o ON o.digest = l.digest AND o.n = l.n WHERE o.n IS NULL AND octet_length(encode(t)) >= 2000 AND longest >= 1000 AND {_has(fixed.EVAL_MARKER)}),
 hooks AS (SELECT digest, CASE k WHEN 2 THEN 'npm-install-hook' WHEN 3 THEN 'npm-install-hook-network' WHEN 4 THEN 'npm-install-hook-danger' WHEN 5 THEN 'destructive-payload' END AS rule,
           CASE k WHEN 2 THEN 'low' WHEN 3 THEN 'high' ELSE 'critical' END AS severity FROM files WHERE n = 0 AND eco = 'npm' AND k BETWEEN 2 AND 5),
-setups AS (SELECT digest, 'py-setup-execution' AS rule, 'critical' AS severity FROM files WHERE eco = 'pypi' AND path = 'setup.py'),
+setups AS (SELECT digest, 'py-setup-execution' AS rule, 'critical' AS severity FROM files WHERE eco = 'pypi' AND path = 'setup.py' AND (regexp_matches(t, {_lit(fixed.PY_NET_CALL)}) OR regexp_matches(t, {_lit(fixed.DANGER)}) OR regexp_matches(t, {_lit(fixed.DYN_EXEC_DECODED)}))),
 findings AS (SELECT * FROM contents UNION ALL SELECT * FROM blobs UNION ALL SELECT * FROM hooks UNION ALL SELECT * FROM setups)"""
 )
 
@@ -204,5 +204,5 @@ SQL = {
     "package_verdicts": f"{_FOUND} {_verdicts('findings', 'files')}",
     "package_excerpts": f"{_FILES} SELECT digest, path, least(octet_length(encode(t)), 8192) AS size FROM files WHERE path IN ('package.json', 'setup.py')",
     "behavior_findings": f"{_TRACE} SELECT digest, rule, severity, count(*) AS n FROM traced GROUP BY ALL",
-    "behavior_verdicts": f"{_TRACE} {_verdicts('traced', 'e')}",
+    "behavior_verdicts": f"{_TRACE} {_verdicts('traced', f'(SELECT {_INSTALL} AS digest FROM events)')}",
 }

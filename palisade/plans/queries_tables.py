@@ -11,9 +11,11 @@ from palisade.functions import fixed, paths
 from palisade.functions import scalars as S
 from palisade.functions.needles import first_found, found
 from palisade.functions.regex import all_matches
+from palisade.operators import behavior_rules
 from palisade.operators.advisories import advisory_findings
+from palisade.operators.static_rules import content_findings
 from palisade.operators.triage import RuleModel
-from palisade.operators.versions import append_history, file_changes, previous_good
+from palisade.operators.versions import append_history, file_changes, hook_changes, previous_good
 from palisade.plans import splits
 from palisade.sources import sinks, tables
 from palisade.sources.scratch import shared_dir
@@ -53,6 +55,24 @@ def secret_scan(spark, sf_dir):
     return docs.select("doc_id", found(t, low, fixed.GENERIC_SECRET).alias("secret"), found(t, low, fixed.PRIVATE_KEY).alias("private_key"), first_found(t, low, fixed.AWS_KEY).alias("aws_key"))
 
 
+_PAD = "CASE doc_id % 5 WHEN 0 THEN 'é日本 eval(' || repeat('日', CAST(doc_id // 5 % 260 AS INT)) || ' atob(1)' WHEN 1 THEN 'ключ https://discord.com/api/webhooks/123456789012345678/' || repeat('ab', 20) || ' ü' WHEN 2 THEN 'ß rm -rf /home/ü' ELSE '' END"
+_TEXT = f"text || chr(10) || {_PAD} || chr(10)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents WHERE text IS NOT NULL),
+r(rule, p, plain) AS (VALUES ('dynamic-exec-decoded', {_re(fixed.DYN_EXEC_DECODED)}, 0), ('hardcoded-webhook-exfil', {_re(fixed.WEBHOOK)}, 0), ('destructive-payload', {_re(fixed.DESTRUCTIVE)}, 1))
+SELECT doc_id, rule, 'lib/x.js: ' || regexp_extract(t, p) AS evidence FROM d, r WHERE regexp_matches(t, p) AND (plain = 0 OR list_max([octet_length(encode(x)) FOR x IN string_split(t, chr(10))]) <= 2000)""")
+def content_evidence(spark, sf_dir):
+    """Every document is a package of one file, some with a line whose gap between call and decoder is of three-byte
+    characters: evidence is what the pattern matched, bounds count characters."""
+    pad = F.expr(_PAD.replace("//", "div"))
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").repartition("doc_id")
+    files = docs.select(F.col("doc_id").cast("string").alias("digest"), F.lit("npm").alias("ecosystem"), F.lit(0).alias("file_idx"), F.lit("lib/x.js").alias("path"), F.concat("text", F.lit("\n"), pad, F.lit("\n")).cast("binary").alias("content"))
+    found = content_findings(files, spark.createDataFrame([], "digest string, target string"))
+    rules = ("dynamic-exec-decoded", "hardcoded-webhook-exfil", "destructive-payload")
+    return found.filter(F.col("rule").isin(*rules)).select(F.col("digest").cast("long").alias("doc_id"), "rule", "evidence")
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS n FROM documents WHERE regexp_matches(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')")
 def ipv4_mentions(spark, sf_dir):
     n = F.size(all_matches(F.col("text"), r"\b(?:\d{1,3}\.){3}\d{1,3}\b"))
@@ -68,7 +88,7 @@ def b64_literals(spark, sf_dir):
 @query("SELECT doc_id, CAST(list_max([octet_length(encode(x)) FOR x IN string_split(text, chr(10))]) AS BIGINT) AS longest, list_max([octet_length(encode(x)) FOR x IN string_split(text, chr(10))]) > 2000 AS minified FROM documents")
 def max_line_length(spark, sf_dir):
     longest = S.max_line_length(F.col("text")).cast("long")
-    return read(spark, sf_dir, "documents").select("doc_id", longest.alias("longest"), S.is_minified(S.as_text(F.col("text").cast("binary"))).alias("minified"))
+    return read(spark, sf_dir, "documents").select("doc_id", longest.alias("longest"), S.is_minified(F.col("text").cast("binary")).alias("minified"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS digest, true AS sound FROM documents")
@@ -139,34 +159,52 @@ def public_addresses(spark, sf_dir):
     return own.unionByName(odd).select("event_id", "address", S.is_public_ip(a).alias("in_source"), S.is_routable_public_ip(a).alias("routable"))
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS tools FROM events WHERE value > 150 GROUP BY user_id HAVING count(DISTINCT event_type) >= 3")
+def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an entry of its user's trace; its day is the phase."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    e = read(spark, sf_dir, "events").withColumns({"digest": F.col("user_id").cast("string"), "ecosystem": F.lit("npm"), "phase": day.cast("string"), "phase_ord": day, "pos": F.col("event_id")})
+    return e.withColumns({"strong": F.col("value") > 150, "hostnames": F.array().cast("array<string>")})
+
+
+_BURST = fixed.TRACE_RULES["recon"]
+_DELETES = fixed.TRACE_RULES["deletes"]
+
+
+@query(f"""SELECT CAST(user_id AS VARCHAR) AS digest, '{_BURST[0]}' AS rule, replace('{_BURST[2]}', '{{}}', CAST(count(DISTINCT event_type) AS VARCHAR)) AS description
+FROM events WHERE value > 150 AND event_type <> 'view' GROUP BY user_id HAVING count(DISTINCT event_type) >= {fixed.RECON_TOOLS}""")
 def recon_burst(spark, sf_dir):
-    return read(spark, sf_dir, "events").filter("value > 150").groupBy("user_id").agg(F.count_distinct("event_type").alias("tools")).filter(F.col("tools") >= fixed.RECON_TOOLS)
+    """Every event is a command; strong ones of four kinds are host profiling."""
+    command = F.expr("CASE WHEN strong AND event_type = 'click' THEN array('uname', '-a') WHEN strong AND event_type = 'error' THEN array('sh', '-c', 'whoami x') WHEN strong AND event_type = 'purchase' THEN array('lscpu') WHEN strong AND event_type = 'signup' THEN array('/usr/bin/x', 'ip addr') ELSE array('ls', '-l') END")
+    return behavior_rules.recon_burst(_acts(spark, sf_dir).withColumn("command", command)).select("digest", "rule", "description")
 
 
-@query("SELECT user_id, count(*) AS deletes, list_aggregate(list_sort(list(event_id))[:3], 'string_agg', ', ') AS first FROM events WHERE value > 60 GROUP BY user_id HAVING count(*) >= 25")
+@query(f"""SELECT CAST(user_id AS VARCHAR) AS digest, replace('{_DELETES[2]}', '{{}}', CAST(count(*) AS VARCHAR)) AS description, list_aggregate(list_transform(list_sort(list(struct_pack(d := CAST(ts AS DATE), e := event_id)))[:3], lambda x: '/home/u/' || x.e), 'string_agg', ', ') AS evidence
+FROM events WHERE value > 60 GROUP BY user_id HAVING count(*) >= {fixed.DESTRUCTION_DELETES}""")
 def mass_delete_threshold(spark, sf_dir):
-    from pyspark.sql import Window
+    """Every event is a file entry; weak ones are deletes in the package manager's own trees."""
+    path = F.concat(F.expr("if(value > 60, '/home/u/', '/x/node_modules/')"), F.col("event_id"))
+    return behavior_rules.destruction(_acts(spark, sf_dir).withColumns({"path": path, "delete": F.lit(True)})).select("digest", "description", "evidence")
 
-    rows = read(spark, sf_dir, "events").filter("value > 60")
-    many = rows.groupBy("user_id").agg(F.count("*").alias("deletes")).filter(F.col("deletes") >= fixed.DESTRUCTION_DELETES)
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("nth <= 3").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ", ").alias("first"))
-    return many.join(first, "user_id")
 
-
-@query("SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_type = 'view' AND value > 150) AND bool_or(event_type = 'error' AND value > 150)")
+@query("SELECT CAST(user_id AS VARCHAR) AS digest FROM events GROUP BY user_id HAVING bool_or(event_type = 'view' AND value > 150) AND bool_or(event_type = 'error' AND value > 150)")
 def exfil_chain(spark, sf_dir):
-    flags = read(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or((F.col("event_type") == "view") & (F.col("value") > 150)).alias("secret"), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 150)).alias("out"))
-    return flags.filter("secret AND out").select("user_id")
+    """Every event reads a file and opens a socket; strong views read a secret, strong errors reach a public address,
+    half of them told as IPv6."""
+    e = _acts(spark, sf_dir)
+    files = e.withColumns({"path": F.expr("if(strong AND event_type = 'view', '/root/.aws/credentials', '/srv/x')"), "read": F.lit(True)})
+    address = F.expr("if(strong AND event_type = 'error', if(event_id % 2 = 0, '45.77.13.9', '::ffff:45.77.13.9'), '10.0.0.1')")
+    return behavior_rules.exfil_chain(files, e.withColumn("address", address), e.withColumn("host", F.lit("localhost"))).select("digest")
 
 
-@query("""SELECT c.user_id, c.event_id, min(d.ts) AS dropped_at FROM events c JOIN events d ON c.user_id = d.user_id AND c.props = d.props AND d.ts < c.ts AND d.event_type = 'click' WHERE c.event_type = 'purchase' GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT *, CAST(ts AS DATE) - DATE '2024-01-01' AS day, '/tmp/' || md5(props) || '.sh' AS path FROM events)
+SELECT CAST(c.user_id AS VARCHAR) AS digest, c.event_id AS pos, c.path AS evidence, 'executes a file it dropped during ' || c.day AS description FROM e c
+WHERE c.event_type = 'purchase' AND EXISTS (SELECT 1 FROM e d WHERE d.event_type = 'click' AND d.user_id = c.user_id AND d.path = c.path AND d.day <= c.day)""")
 def drop_and_execute(spark, sf_dir):
-    """Commands on something that the same user dropped before: the first drop of each thing is aggregated, then an
-    equi-join finds it."""
-    e = read(spark, sf_dir, "events")
-    dropped = e.filter("event_type = 'click'").groupBy("user_id", "props").agg(F.min("ts").alias("dropped_at"))
-    return e.filter("event_type = 'purchase'").join(dropped, ["user_id", "props"]).filter("dropped_at < ts").select("user_id", "event_id", "dropped_at")
+    """Clicks drop a file, purchases run one, all others look at one."""
+    e = _acts(spark, sf_dir).withColumn("path", F.concat(F.lit("/tmp/"), F.md5("props"), F.lit(".sh"))).withColumn("write", F.col("event_type") == "click")
+    commands = e.withColumn("command", F.when(F.col("event_type") == "purchase", F.array(F.lit("sh"), F.col("path"))).otherwise(F.array(F.lit("ls"), F.lit("-l"))))
+    found = behavior_rules.drop_and_execute(e, commands)
+    return found.select("digest", F.expr(f"ord % {behavior_rules.PER_KIND}").alias("pos"), "evidence", "description")
 
 
 @query("""WITH h AS (SELECT user_id, event_id, event_type, value > 20 AS ok FROM events)
@@ -178,12 +216,13 @@ def previous_good_version(spark, sf_dir):
     return out.select(F.col("asked").alias("event_id"), F.col("prev_version").cast("long").alias("previous"))
 
 
-@query("""WITH f AS (SELECT source, lang || '/' || doc_id // 40 AS path, arg_max(sha256(text), doc_id) AS hash FROM documents WHERE source IN ('src0', 'src1') GROUP BY 1, 2),
-p AS (SELECT path, hash FROM f WHERE source = 'src0'), c AS (SELECT path, hash FROM f WHERE source = 'src1')
-SELECT coalesce(p.path, c.path) AS path, CASE WHEN p.hash IS NULL THEN 'added' WHEN c.hash IS NULL THEN 'removed' ELSE 'modified' END AS change FROM p FULL JOIN c ON p.path = c.path WHERE p.hash IS DISTINCT FROM c.hash""")
+@query("""WITH f AS (SELECT source, lang || '/' || doc_id // 40 AS path, arg_max(sha256(text), doc_id) AS hash FROM documents WHERE source IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT source, lag(source) OVER (ORDER BY length(source), source) AS before FROM (SELECT DISTINCT source FROM f)),
+sides AS (SELECT s.source AS digest, path, hash AS now, NULL AS old FROM s JOIN f USING (source) WHERE before IS NOT NULL UNION ALL SELECT s.source, path, NULL, hash FROM s JOIN f ON f.source = before),
+both_sides AS (SELECT digest, path, max(now) AS now, max(old) AS old FROM sides GROUP BY ALL)
+SELECT digest, path, CASE WHEN old IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'modified' END AS change FROM both_sides WHERE now IS DISTINCT FROM old""")
 def version_diff(spark, sf_dir):
-    """Each source against the one before it. The SQL is of src1 against src0 alone and doesn't tell the digest, so it
-    doesn't agree."""
+    """Each source against the one before it."""
     from pyspark.sql import Window
 
     d = read(spark, sf_dir, "documents")
@@ -195,26 +234,33 @@ def version_diff(spark, sf_dir):
     return file_changes(pairs, files).select("digest", "path", "change")
 
 
-@query("""WITH h AS (SELECT conv_id, role, turn // 2 AS v, max_by(text, turn) AS command FROM conversations GROUP BY ALL)
-SELECT c.conv_id, c.v, c.role, CASE WHEN p.command IS NULL THEN 'added' ELSE 'changed' END AS change FROM h c LEFT JOIN h p ON p.conv_id = c.conv_id AND p.role = c.role AND p.v = c.v - 1 WHERE c.v > 0 AND p.command IS DISTINCT FROM c.command""")
+@query(f"""WITH h AS (SELECT conv_id, CASE role WHEN 'user' THEN 'preinstall' WHEN 'assistant' THEN 'install' ELSE 'postinstall' END AS hook, turn // 2 AS v, max_by(coalesce(text, ''), turn) AS command FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+v AS (SELECT DISTINCT conv_id, v FROM h)
+SELECT c.conv_id || '-' || c.v AS digest, CASE WHEN p.command IS NULL THEN '{fixed.DIFF_RULES["hook-added"][0]}' ELSE '{fixed.DIFF_RULES["hook-changed"][0]}' END AS rule, replace(CASE WHEN p.command IS NULL THEN '{fixed.DIFF_RULES["hook-added"][2].replace("'", "''")}' ELSE '{fixed.DIFF_RULES["hook-changed"][2].replace("'", "''")}' END, '{{}}', c.hook) AS description
+FROM h c JOIN v ON v.conv_id = c.conv_id AND v.v = c.v - 1 LEFT JOIN h p ON p.conv_id = c.conv_id AND p.hook = c.hook AND p.v = c.v - 1 WHERE p.command IS DISTINCT FROM c.command""")
 def hook_diff(spark, sf_dir):
-    h = read(spark, sf_dir, "conversations").groupBy("conv_id", "role", F.expr("turn div 2").alias("v")).agg(F.max_by("text", "turn").alias("command"))
-    old = h.select("conv_id", "role", (F.col("v") + 1).alias("v"), F.col("command").alias("old"))
-    both = h.filter("v > 0").join(old, ["conv_id", "role", "v"], "left").filter(~F.col("old").eqNullSafe(F.col("command")))
-    return both.select("conv_id", "v", "role", F.when(F.col("old").isNull(), "added").otherwise("changed").alias("change"))
+    """Two turns of a conversation are a version, whose install hooks they are."""
+    hook = F.expr("CASE role WHEN 'user' THEN 'preinstall' WHEN 'assistant' THEN 'install' ELSE 'postinstall' END")
+    turns = read(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL").select("conv_id", F.expr("turn div 2").alias("v"), hook.alias("hook"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    hooks = turns.groupBy("conv_id", "v", "hook").agg(F.max_by("text", "turn").alias("command")).groupBy("conv_id", "v").agg(F.map_from_entries(F.collect_list(F.struct("hook", "command"))).alias("scripts"))
+    name = F.concat_ws("-", "conv_id", "v")
+    files = hooks.select(name.alias("digest"), F.lit("npm").alias("ecosystem"), F.lit(0).alias("file_idx"), F.lit("package.json").alias("path"), F.to_json(F.struct("scripts")).cast("binary").alias("content"))
+    versions = hooks.select("conv_id", "v")
+    pairs = versions.join(versions.select("conv_id", (F.col("v") + 1).alias("v")), ["conv_id", "v"]).select(name.alias("digest"), F.concat_ws("-", "conv_id", F.col("v") - 1).alias("prev_digest"))
+    return hook_changes(pairs, files).select("digest", "rule", "description")
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS digest, 'P-' || p_partkey AS rule,
-CASE upper(p_type) WHEN 'ECONOMY' THEN 'low' WHEN 'STANDARD' THEN 'medium' WHEN 'PROMO' THEN 'critical' ELSE CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END END AS severity, 'known vulnerability P-' || p_partkey || ': ' || p_name AS description
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 5 = 0""")
+CASE upper(p_type) WHEN 'ECONOMY' THEN 'low' WHEN 'STANDARD' THEN 'medium' WHEN 'PROMO' THEN 'critical' ELSE CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END END AS severity, 'known vulnerability P-' || p_partkey || ': ' || p_name AS description, 'P-' || p_partkey AS evidence
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def vuln_lookup(spark, sf_dir):
-    """Every part is an advisory. The SQL leaves four in five out, so it doesn't agree."""
+    """Every part is an advisory."""
     label = F.expr("CASE upper(p_type) WHEN 'ECONOMY' THEN 'LOW' WHEN 'STANDARD' THEN 'Moderate' WHEN 'PROMO' THEN 'CRITICAL' END")
     scores = F.when(F.expr("p_size % 2 = 0"), F.array(F.struct(F.lit("cvss_v3").alias("type"), F.lit("x").alias("score"))))
     part = read(spark, sf_dir, "part")
     advisories = part.select(F.lit("PyPI").alias("ecosystem"), F.col("p_partkey").cast("string").alias("name"), F.lit("1").alias("version"), F.concat(F.lit("P-"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("summary"), label.alias("db_severity"), scores.alias("severity"))
     artifacts = read(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("digest"), F.lit("pypi").alias("ecosystem"), F.col("l_partkey").cast("string").alias("name"), F.lit("1").alias("version"))
-    return advisory_findings(artifacts, advisories).select("digest", "rule", "severity", "description")
+    return advisory_findings(artifacts, advisories).select("digest", "rule", "severity", "description", "evidence")
 
 
 @query("SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents WHERE n_chars > 2000 GROUP BY source")
@@ -297,9 +343,12 @@ def temporal_split(spark, sf_dir):
     return _dated(splits.temporal_split(pool, _clusters(spark, sf_dir), "1999-01-01"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS ecosystem, CAST(NULL AS VARCHAR) AS campaign_id WHERE false")
+@query(f"""WITH {_CAMPAIGNS} SELECT ecosystem, campaign_id FROM campaigns GROUP BY ALL HAVING bool_or(first_seen >= DATE '1999-01-01') AND bool_or(first_seen < DATE '1999-01-01')""")
 def split_leaks(spark, sf_dir):
-    return splits.leaks(temporal_split(spark, sf_dir))
+    """What a split by date alone would leak: campaigns on both sides."""
+    side = F.when(F.col("first_seen") >= F.lit("1999-01-01").cast("date"), "test").otherwise("train")
+    both = _pool(spark, sf_dir).join(_clusters(spark, sf_dir), ["ecosystem", "name"])
+    return splits.leaks(both.withColumn("side", side)).select("ecosystem", "campaign_id")
 
 
 @query(f"""WITH {_CAMPAIGNS}, g AS (SELECT ecosystem, campaign_id, md5(ecosystem || '/' || campaign_id) AS hash, count(*) AS n FROM campaigns GROUP BY ALL),
@@ -319,14 +368,16 @@ def set_intersect(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(read(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS nation FROM nation WHERE n_nationkey < 24 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+@query("SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_except(spark, sf_dir):
-    return read(spark, sf_dir, "nation").filter("n_nationkey < 24").select(F.col("n_nationkey").alias("nation")).exceptAll(read(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select("s_nationkey").distinct())
+    known = read(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("name"))
+    return tables.unlisted(read(spark, sf_dir, "nation"), known, "n_nationkey").select(F.col("n_nationkey").alias("nation"))
 
 
 @query("SELECT n_name AS name FROM nation SEMI JOIN supplier ON s_nationkey = n_nationkey")
 def name_semi_join(spark, sf_dir):
-    return read(spark, sf_dir, "nation").join(read(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("n_name").alias("name"))
+    known = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("name"))
+    return tables.listed(read(spark, sf_dir, "nation"), known, "n_nationkey").select(F.col("n_name").alias("name"))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS name, event_type AS digest, min(event_id) AS seq FROM events WHERE event_id % 2 = 0 OR value > 30 GROUP BY ALL""")

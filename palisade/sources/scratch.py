@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where it names none."""
+    """The folder that all executors share, as the session names it. Where it names none one of our own, in local mode
+    only: a cluster's machines don't share one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

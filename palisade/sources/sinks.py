@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from palisade.functions.scalars import is_digest, is_signed_envelope
 
-VERDICT = "artifact struct<ecosystem:string,name:string,version:string,digest:string>, decision string, reason string, signals array<struct<stage:string,rule:string,severity:string,description:string,evidence:string>>, decided_at timestamp, engine string, rules_version string"
+VERDICT = "artifact struct<ecosystem:string,name:string,version:string,digest:string>, decision string, reason string, signals array<struct<stage:string,rule:string,severity:string,description:string,evidence:string>>, decided_at timestamp, engine string, rules_version string, diff struct<prev_version:string,added:array<string>,removed:array<string>,modified:array<string>>"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -101,9 +101,9 @@ def canonical(verdict: Column) -> Column:
 
 
 def sealed(verdicts: DataFrame, signer: Signer | None = None) -> DataFrame:
-    """digest, document: each verdict as JSON; with a signer in an envelope with algorithm, key_id and signature."""
+    """digest, document: each verdict as JSON, with its diff if it has one; with a signer in an envelope with algorithm, key_id and signature."""
     artifact = F.struct("ecosystem", "name", "version", "digest").alias("artifact")
-    v = F.struct(artifact, "decision", "reason", "signals", "decided_at", "engine", "rules_version")
+    v = F.struct(artifact, "decision", "reason", "signals", "decided_at", "engine", "rules_version", *(["diff"] if "diff" in verdicts.columns else []))
     rows = verdicts.select("digest", canonical(v).alias("v"))
     if signer is None:
         return rows.select("digest", F.col("v").alias("document"))

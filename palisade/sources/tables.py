@@ -21,6 +21,23 @@ def traces(raw: DataFrame) -> DataFrame:
     return parsed.filter("trace.Analysis IS NOT NULL")
 
 
+def trace_errors(raw: DataFrame) -> DataFrame:
+    """digest, error of the texts that are no trace."""
+    parsed = raw.withColumn("trace", F.from_json("json", TRACE)).filter("trace.Analysis IS NULL")
+    error = F.when(F.try_parse_json("json").isNull(), "behavior: parse trace").otherwise("behavior: trace has no Analysis section")
+    return parsed.select("digest", error.alias("error"))
+
+
+def listed(rows: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """The rows whose name is on a curated list."""
+    return rows.join(names.select(F.col("name").alias(key)).distinct(), key, "left_semi")
+
+
+def unlisted(rows: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """The rows whose name is on no such list; rows without a name too."""
+    return rows.join(names.select(F.col("name").alias(key)).distinct(), key, "left_anti")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """ecosystem, name, label, tarball, trace (null for '-') of a tab-separated manifest."""
     line = F.trim("value")
