@@ -38,9 +38,9 @@ from palisade.llm.hashing import grams, mix, prefix, stretches
 SHINGLE, TREES, LEVELS, RECALL = 5, 32, 8, 0.99999
 THRESHOLD = (4, 5)
 #: Members of a container compared at a time; columns of a block's matrix; classes whose tries a task builds at once.
-BLOCK, COLUMNS, CHUNK = 256, 8192, 50_000
-#: Words a task remembers the hash of.
-WORDS = 1_000_000
+BLOCK, COLUMNS, CHUNK = 256, 8192, 16_000
+#: Words and sets that a task remembers.
+WORDS, SETS = 100_000, 250_000
 
 
 def matched_depth(similarity: float, trees: int = TREES, recall: float = RECALL) -> int:
@@ -71,13 +71,10 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
-def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the set of word shingles."""
+def shingles(raw: bytes, size: int = SHINGLE, known: _Words | None = None) -> np.ndarray:
+    """Sorted hashes of the set of word shingles. known: words that the task has hashed."""
     words = raw.split()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map((_Words() if known is None else known).__getitem__, words), np.uint64, len(words))
     p = prefix(w)
     if len(w) < size:
         return stretches(p, np.zeros(1, np.int64), np.array([len(w)])) if len(w) else w
@@ -106,18 +103,19 @@ def labels(hashes: np.ndarray, trees: int = TREES) -> np.ndarray:
 def _sets(trees: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[bytes] = set()
+        known = _Words()
         for b in batches:
             keys, n, signs = [], [], []
             for text in b.column("text"):
                 raw = text.as_buffer()
-                s = shingles(b"" if raw is None else raw.to_pybytes(), size)
+                s = shingles(b"" if raw is None else raw.to_pybytes(), size, known)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 keys.append(key)
                 n.append(len(s))
                 if not len(s) or key in signed:  # once a task is enough
                     signs.append(None)
                 else:
-                    if len(signed) < 1_000_000:
+                    if len(signed) < SETS:
                         signed.add(key)
                     signs.append(labels(s, trees).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("name"), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "name", "key", "n_shingles", "labels"])
@@ -211,7 +209,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             held.append(b)
-        if sum(x.num_rows for x in held) >= 200_000:
+        if sum(x.num_rows for x in held) >= 100_000:
             t = pa.Table.from_batches(held)
             node = t.column("node").to_numpy()
             edge = int(np.searchsorted(node, node[-1]))
@@ -296,11 +294,12 @@ def _verify(threshold: tuple[int, int]):
 
 def _with_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for b in batches:
             sets = []
             for text in b.column("text"):
                 raw = text.as_buffer()
-                sets.append(shingles(b"" if raw is None else raw.to_pybytes(), size).tobytes())
+                sets.append(shingles(b"" if raw is None else raw.to_pybytes(), size, known).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("box"), b.column("block"), b.column("blocks"), b.column("class"), b.column("size"), pa.array(sets, pa.binary())], ["box", "block", "blocks", "class", "size", "set"])
 
     return run

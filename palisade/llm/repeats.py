@@ -41,7 +41,7 @@ from palisade.llm.hashing import VALUES, grams, mix, prefix, sliding_min, stretc
 
 #: Fragments that a task holds at once, and contents it remembers; different fragments of one anchor in these that make
 #: it hot; and the same over all.
-CHUNK, REMEMBERED, HOT_HERE, HOT = 1_000_000, 250_000, 64, 4096
+CHUNK, REMEMBERED, HOT_HERE, HOT = 1_000_000, 150_000, 64, 4096
 LONE, HOT_MARK, NEEDED_HOT, REMOVE, NEEDED = range(5)
 
 #: resolve(contents, docs, starts, counts) -> (row, offset, size) of what to remove, by numbers of the given fragments.
@@ -143,8 +143,10 @@ def _anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for i, (x, r, text) in enumerate(texts):
             of[i] = k = number[x]
             plain[k], route[k], second[k] = text, r, int.from_bytes(x[2][8:], "little", signed=True)
-        doc = np.concatenate([np.full(len(h[0]), of[i]) for i, h in enumerate(held)])
+        doc = np.repeat(of, [len(h[0]) for h in held])
         anchor, content, at, left, right = (np.concatenate([h[k] for h in held]) for k in range(5))
+        held.clear()
+        texts.clear()
         order = np.lexsort((at, doc, content, anchor))
         order = order[_groups(anchor[order], content[order], doc[order], at[order])]
         anchor, content, doc, at, left, right = (x[order] for x in (anchor, content, doc, at, left, right))
@@ -156,6 +158,8 @@ def _anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             if plain[doc[i]][left[i] : right[i]] != plain[doc[h]][left[h] : right[h]]:
                 copy[i] = False  # equal hashes of unequal contents: both stay
         gone, start, end = merged(doc[copy], at[copy] >> 8, (at[copy] >> 8) + (at[copy] & 0xFF) + units.window - 1)
+        plain.clear()
+        del order, content, left, right, head, new
         yield rows(REMOVE, second[gone], route[gone], start << 8, end - start)
         anchor, doc, at = anchor[~copy], doc[~copy], at[~copy]
         new = _groups(anchor)
@@ -363,9 +367,9 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], (reach - own)[last]
 
 
-def with_removed(docs: DataFrame, units: Units, resolve: Resolve, finish: Callable[[pa.RecordBatch, list[bytes], list[np.ndarray]], pa.RecordBatch], schema: str | T.StructType, block: int, carry: bool = False) -> DataFrame:
-    """finish(rows, texts, masks) over every row of docs: a batch with doc_id and, with carry, the other columns as the
-    struct `row`; the texts' bytes and masks of the removed units."""
+def with_removed(docs: DataFrame, units: Units, resolve: Resolve, finish: Callable[[pa.RecordBatch, Iterator[tuple[bytes, np.ndarray]]], pa.RecordBatch], schema: str | T.StructType, block: int, carry: bool = False) -> DataFrame:
+    """finish(rows, texts) over every row of docs: a batch with doc_id and, with carry, the other columns as the struct
+    `row`; of each text the bytes and a mask of the removed units, one at a time."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_name(F.col("doc_id").cast("long"), F.col("text")).alias("name"), *others).withColumn("route", _route(F.col("name")))
@@ -393,15 +397,15 @@ def with_removed(docs: DataFrame, units: Units, resolve: Resolve, finish: Callab
         .agg(F.collect_list(F.struct("doc", "start", "size")).alias("spans"))
     )
 
+    def masked(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+        for name, names, text, spans in zip(b.column("name"), b.column("names"), b.column("text"), b.column("spans"), strict=True):
+            raw = text.as_buffer()
+            raw = b"" if raw is None else raw.to_pybytes()
+            yield raw, removed_units(len(raw.split()) if units.words else len(raw), spans, _number(names, name.as_py()) if spans.is_valid else -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, masks = [], []
-            for name, names, text, spans in zip(b.column("name").to_pylist(), b.column("names"), b.column("text"), b.column("spans"), strict=True):
-                raw = text.as_buffer()
-                raw = b"" if raw is None else raw.to_pybytes()
-                texts.append(raw)
-                masks.append(removed_units(len(raw.split()) if units.words else len(raw), spans, _number(names, name) if spans.is_valid else -1))
-            yield finish(b, texts, masks)
+            yield finish(b, masked(b))
 
     return dealt.join(spans.hint("shuffle_hash"), "route", "left").select(*columns, "spans").mapInArrow(run, schema)
 

@@ -14,6 +14,7 @@ and kept by `deduped_documents`.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -94,9 +95,9 @@ def _resolve(window: int):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **hot: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by one space)."""
 
-    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
-        kept = [hashlib.sha256(_kept(t, m)).hexdigest() for t, m in zip(texts, masks, strict=True)]
-        columns = [b.column("doc_id"), pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(kept, pa.string())]
+    def finish(b: pa.RecordBatch, texts: Iterator[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+        n_words, removed, kept = zip(*[(len(m), int(m.sum()), hashlib.sha256(_kept(t, m)).hexdigest()) for t, m in texts], strict=True)
+        columns = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return with_removed(docs, Units(True, window, gram, **hot), _resolve(window), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", SHARD)
@@ -106,9 +107,9 @@ def deduped_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     """docs, all columns and rows, with repeated words cut from their texts: words are joined by one space where any
     went, other texts stay as they are."""
 
-    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
+    def finish(b: pa.RecordBatch, texts: Iterator[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
         there = b.column("text").is_valid().to_pylist()
-        cut = [(_kept(t, m) if m.any() else t).decode() if ok else None for t, m, ok in zip(texts, masks, there, strict=True)]
+        cut = [(_kept(t, m) if m.any() else t).decode() if ok else None for (t, m), ok in zip(texts, there, strict=True)]
         return pa.RecordBatch.from_arrays([b.column("row"), pa.array(cut, pa.string())], ["row", "cut"])
 
     row = T.StructType([f for f in docs.schema.fields if f.name != "text"])

@@ -18,6 +18,7 @@ kept by `deduped_texts`.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,10 +158,9 @@ def _resolve(window: int):
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **hot: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. The window's length is even."""
 
-    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
-        kept = [hashlib.sha256(_kept(t, m)).hexdigest() for t, m in zip(texts, masks, strict=True)]
-        runs = [int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()) for m in masks]
-        columns = [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())]
+    def finish(b: pa.RecordBatch, texts: Iterator[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+        n_bytes, removed, runs, kept = zip(*[(len(t), int(m.sum()), int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()), hashlib.sha256(_kept(t, m)).hexdigest()) for t, m in texts], strict=True)
+        columns = [b.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n_bytes, removed, runs)], pa.array(kept, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_removed(docs, Units(False, window, gram, **hot), _resolve(window), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", BLOCK)
@@ -173,9 +173,9 @@ def _kept(text: bytes, gone: np.ndarray) -> bytes:
 def deduped_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs, all columns and rows, with repeated bytes cut from their texts; bytes of characters cut in half go too."""
 
-    def finish(b: pa.RecordBatch, texts: list[bytes], masks: list[np.ndarray]) -> pa.RecordBatch:
+    def finish(b: pa.RecordBatch, texts: Iterator[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
         there = b.column("text").is_valid().to_pylist()
-        cut = [_kept(t, m).decode("utf-8", "ignore") if ok else None for t, m, ok in zip(texts, masks, there, strict=True)]
+        cut = [_kept(t, m).decode("utf-8", "ignore") if ok else None for (t, m), ok in zip(texts, there, strict=True)]
         return pa.RecordBatch.from_arrays([b.column("row"), pa.array(cut, pa.string())], ["row", "cut"])
 
     row = T.StructType([f for f in docs.schema.fields if f.name != "text"])
