@@ -8,6 +8,9 @@ from palisade.operators.decide import Policy, decisions, policies, quorum_grid,
 from palisade.operators.triage import PanelModel, RuleModel, TextModel, excerpts, triage_findings
 from palisade.operators.versions import append_history, diff_findings, diff_summary, file_changes, previous_good
 from palisade.plans import evaluation, registry
+from palisade.plans.scoring import admit, appended, package_history
+from palisade.sources.sinks import opened, sealed
+from palisade.sources.tables import listed, trace_errors, unlisted
 
 FINDING = "digest string, stage string, rule string, severity string, description string, evidence string, ord long"
 
@@ -143,3 +146,37 @@ def test_every_branch_occurs(spark):
     assert {"data-destruction", "recon-burst", "dns-exfil", "exfil-chain", "download-and-execute"} <= seen, seen
     rules = {r.rule for r in registry.queries()["package_findings"](spark, d).select("rule").distinct().collect()}
     assert len(rules) >= 16, rules
+
+
+def test_gate_compares_with_the_last_good_version(spark):
+    """Two versions through the gate: the second is told apart from the first, in the verdict and to the model."""
+    row = "digest string, ecosystem string, file_idx int, path string, content binary, size long, truncated boolean, unpack_error string"
+    pkg = lambda **s: json.dumps({"scripts": s}).encode()
+    v1 = [("d1", "npm", 0, "package.json", pkg(test="x"), 1, False, None), ("d1", "npm", 1, "a.js", b"1", 1, False, None)]
+    v2 = [("d2", "npm", 0, "package.json", pkg(postinstall="node a.js"), 1, False, None), ("d2", "npm", 1, "b.js", b"1", 1, False, None)]
+    art = lambda d, v, seq: spark.createDataFrame([("npm", "x", v, d, seq)], "ecosystem string, name string, version string, digest string, seq long")
+    none = spark.createDataFrame([], "ecosystem string, name string, version string, digest string, decision string, seq long")
+    rows1, rows2 = spark.createDataFrame(v1, row), spark.createDataFrame(v2, row)
+    first = admit(art("d1", "1.0", 1), rows1, none, policies(spark), previous_files=rows1.limit(0).drop("unpack_error"))
+    assert (first.first().decision, first.first()["diff"]) == ("allow", None)
+    history = appended(none, art("d1", "1.0", 1), first)
+    assert [(r.version, r.decision) for r in package_history(history, "npm", "x").collect()] == [("1.0", "allow")]
+    model = TextModel("m", lambda prompt: '{"verdict": "allow", "confidence": 1, "rationale": "' + ("told" if '"diff":{"prev_version":"1.0"' in prompt else "not told") + '", "signals": []}')
+    second = admit(art("d2", "1.1", 2), rows2, history, policies(spark), previous_files=rows1.drop("unpack_error"), model=model).first()
+    d = second["diff"]
+    assert (d.prev_version, d.added, d.removed, d.modified) == ("1.0", ["b.js"], ["a.js"], ["package.json"])
+    assert {"npm-install-hook-added", "llm-allow"} <= {s.rule for s in second.signals} and second.decision != "allow"
+    assert any(s.description == "m triage: told" for s in second.signals)
+    kept = opened(sealed(spark.createDataFrame([second], admit(art("d2", "1.1", 2), rows2, none, policies(spark)).schema))).first()
+    assert kept["diff"].added == ["b.js"]
+
+
+def test_lookup_notes_and_evidence(spark):
+    given = spark.createDataFrame([("a", "npm", "x", "1"), ("b", "cargo", "x", "1")], "digest string, ecosystem string, name string, version string")
+    known = spark.createDataFrame([("npm", "x", "1", "GHSA-1", "bad", "HIGH", None)], "ecosystem string, name string, version string, id string, summary string, db_severity string, severity array<struct<type:string,score:string>>")
+    got = sorted((r.digest, r.rule, r.severity, r.evidence) for r in advisory_findings(given, known).collect())
+    assert got == [("a", "GHSA-1", "high", "GHSA-1"), ("b", "osv-unavailable", "info", 'osv: unsupported ecosystem "cargo"')]
+    raw = spark.createDataFrame([("a", "npm", '{"Analysis": {}}'), ("b", "npm", "{"), ("c", "npm", '{"x": 1}')], "digest string, ecosystem string, json string")
+    assert {r.digest: r.error for r in trace_errors(raw).collect()} == {"b": "behavior: parse trace", "c": "behavior: trace has no Analysis section"}
+    names = spark.createDataFrame([("a",), ("a",)], "name string")
+    assert [r.digest for r in listed(raw, names, "digest").collect()] == ["a"] and sorted(r.digest for r in unlisted(raw, names, "digest").collect()) == ["b", "c"]

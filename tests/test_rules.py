@@ -148,3 +148,9 @@ def test_independent_of_partitions(spark):
     one = sorted(map(str, static_findings(fs.coalesce(1)).collect()))
     assert one == sorted(map(str, static_findings(fs.repartition(7)).collect()))
     assert behavior_findings(traces(raw.limit(0))).count() == static_findings(fs.limit(0)).count() == 0
+
+
+def test_addresses_that_stand_for_ipv4(spark):
+    given = {"45.77.13.9": True, "::ffff:45.77.13.9": True, "::FFFF:2d4d:0d09": True, "0:0:0:0:0:ffff:45.77.13.9": True, "0::ffff:45.77.13.9": True, "::ffff:10.0.0.1": False, "::ffff:a00:1": False, "::1": False, "2001:db8::1": False, "::ffff:045.77.13.9": False, "::ffff:256.1.1.1": False, "8.8.8.8": False, "": False}
+    rows = spark.createDataFrame([(a,) for a in given], "a string")
+    assert {r.a: r.x for r in rows.select("a", S.is_routable_public_ip(F.col("a")).alias("x")).collect()} == given
