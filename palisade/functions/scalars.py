@@ -384,29 +384,32 @@ def rewrite_file_urls(files: Column, old: str, new: str) -> Column:
     return F.transform(files, lambda f: f.withField("url", F.when(f["url"].startswith(old), F.concat(F.lit(new), F.substr(f["url"], F.lit(len(old) + 1)))).otherwise(f["url"])))
 
 
+_MARKS = re.compile(r'\\.|["{}]', re.DOTALL)
+
+
+def _object_end(text: str, start: int) -> int | None:
+    """Where the object that opens at start is closed. Braces in strings don't count, nor does what a backslash escapes."""
+    depth, quoted = 0, False
+    for mark in _MARKS.finditer(text, start):
+        if mark.group() == '"':
+            quoted = not quoted
+        elif not quoted and mark.group() in "{}":
+            depth += 1 if mark.group() == "{" else -1
+            if not depth:
+                return mark.end()
+    return None
+
+
 @F.pandas_udf(T.StringType())
 def last_json_object(texts: pd.Series) -> pd.Series:
-    """The last balanced top-level object in noisy output; braces in strings don't count. A scanner, hence Python."""
+    """The last balanced top-level object in noisy output; a brace that is never closed opens none. A scanner, hence
+    Python."""
 
     def find(text: str | None) -> str | None:
-        depth, start, last, quoted, escaped = 0, 0, None, False, False
-        for i, c in enumerate(text or ""):
-            if quoted:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == '"':
-                    quoted = False
-            elif c == '"' and depth:
-                quoted = True
-            elif c == "{":
-                start = start if depth else i
-                depth += 1
-            elif c == "}" and depth:
-                depth -= 1
-                if not depth:
-                    last = text[start : i + 1]
+        last, at = None, 0
+        while text and (start := text.find("{", at)) >= 0:
+            end = _object_end(text, start)
+            last, at = (last, start + 1) if end is None else (text[start:end], end)
         return last
 
     return texts.map(find)

@@ -1,7 +1,8 @@
 """Decision and evaluation queries: users' events stand for artifacts' findings.
 
 An event is a finding of its user: critical, high, medium or low by kind and value; all others are informational.
-Users whose id divides by three are the malicious samples, and every fiftieth could not be analysed.
+Users whose id divides by three are the malicious samples, and every fiftieth could not be analysed. Each user has a
+quiet twin without findings.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from palisade.plans import evaluation
 SEVERITY = "CASE WHEN event_type = 'error' AND value > 200 THEN 'critical' WHEN event_type = 'purchase' AND value > 200 THEN 'high' WHEN event_type = 'signup' AND value > 90 THEN 'medium' WHEN value > 60 THEN 'low' ELSE 'info' END"
 
 WITH = f"""
-WITH f AS (SELECT CAST(user_id AS VARCHAR) AS digest, event_type AS rule, {SEVERITY} AS severity, event_id AS ord FROM events WHERE value > 55),
-u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS digest, user_id % 3 = 0 AS bad, user_id % 50 = 7 AS broken FROM events)"""
+WITH f AS (SELECT CAST(user_id AS VARCHAR) AS digest, event_type AS rule, {SEVERITY} AS severity, event_id AS ord FROM events),
+u AS (SELECT DISTINCT q || user_id AS digest, user_id % 3 = 0 AS bad, user_id % 50 = 7 AS broken FROM events, (VALUES (''), ('quiet-')) v(q))"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,14 +25,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).filter("value > 55")
+    rows = events(spark, sf_dir)
     severity = F.expr(SEVERITY)
     return rows.select(F.col("user_id").cast("string").alias("digest"), F.lit("events").alias("stage"), F.col("event_type").alias("rule"), severity.alias("severity"), F.concat(F.lit("an event of kind "), F.col("event_type")).alias("description"), F.col("event_id").cast("string").alias("evidence"), F.col("event_id").alias("ord"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = events(spark, sf_dir).select("user_id").distinct()
-    return users.select(F.col("user_id").cast("string").alias("digest"), F.when(F.col("user_id") % 3 == 0, "malicious").otherwise("benign").alias("label"), F.when(F.col("user_id") % 50 == 7, "no evidence").alias("error"))
+    both = F.explode(F.array(F.col("user_id").cast("string"), F.concat(F.lit("quiet-"), F.col("user_id"))))
+    return users.select(both.alias("digest"), F.when(F.col("user_id") % 3 == 0, "malicious").otherwise("benign").alias("label"), F.when(F.col("user_id") % 50 == 7, "no evidence").alias("error"))
 
 
 def _decide(*given: Policy):

@@ -263,9 +263,9 @@ def vuln_lookup(spark, sf_dir):
     return advisory_findings(artifacts, advisories).select("digest", "rule", "severity", "description", "evidence")
 
 
-@query("SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents WHERE n_chars > 2000 GROUP BY source")
+@query("SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
 def first_file_wins(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter("n_chars > 2000").groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("lang", "doc_id").alias("lang"))
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("lang", "doc_id").alias("lang"))
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(nth AS BIGINT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS nth FROM orders) WHERE nth <= 3")
@@ -380,11 +380,10 @@ def name_semi_join(spark, sf_dir):
     return tables.listed(read(spark, sf_dir, "nation"), known, "n_nationkey").select(F.col("n_name").alias("name"))
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS name, event_type AS digest, min(event_id) AS seq FROM events WHERE event_id % 2 = 0 OR value > 30 GROUP BY ALL""")
+@query("""SELECT CAST(user_id AS VARCHAR) AS name, event_type AS digest, min(event_id) AS seq FROM events GROUP BY ALL""")
 def history_dedupe(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.lit("npm").alias("ecosystem"), F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("digest"), F.col("event_id").alias("seq"), "value")
-    kept = e.filter("seq % 2 = 0 OR value > 30")
-    return append_history(kept.limit(0), kept).select("name", "digest", "seq")
+    e = read(spark, sf_dir, "events").select(F.lit("npm").alias("ecosystem"), F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("digest"), F.col("event_id").alias("seq"))
+    return append_history(e.limit(0), e).select("name", "digest", "seq")
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -440,15 +439,6 @@ def file_names(spark, sf_dir):
     return rows.select("file", S.npm_version_from_tarball(F.col("n"), F.col("file")).alias("npm"), w["name"].alias("wheel_name"), w["version"].alias("wheel_version"), s["name"].alias("sdist_name"), s["version"].alias("sdist_version"))
 
 
-@query("""SELECT url, fetched_at, fetched_at > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 3 DAY AS fresh FROM (SELECT 'u' || user_id AS url, max(ts) AS fetched_at FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id)""")
-def metadata_freshness(spark, sf_dir):
-    """The last answer of each address; stale ones are told, not dropped."""
-    e = read(spark, sf_dir, "events").withColumn("fetched_at", F.col("ts").cast("timestamp")).filter(F.col("fetched_at") < F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    last = sinks.latest(e.select(F.concat(F.lit("u"), F.col("user_id")).alias("url"), "fetched_at"), "url", "fetched_at")
-    age = F.unix_micros(F.lit("2024-01-20 00:00:00").cast("timestamp")) - F.unix_micros("fetched_at")
-    return last.select("url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), (age < 3 * 86400 * 1_000_000).alias("fresh"))
-
-
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS path, CASE WHEN o.o_custkey % 3 > 0 THEN 'd' || o_custkey % 50 END AS digest, CASE WHEN o.o_custkey % 3 > 0 AND o_custkey % 50 < 40 THEN CASE WHEN o_custkey % 50 < 30 THEN 'allow' ELSE 'block' END END AS decision, CASE WHEN o.o_custkey % 3 > 0 AND o_custkey % 50 < 20 THEN 'bytes' END AS content FROM (SELECT DISTINCT o_custkey FROM orders) o""")
 def lookup_chain(spark, sf_dir):
     keys = read(spark, sf_dir, "orders").select("o_custkey").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.plans import queries_decide, queries_packages, queries_tables
+from palisade.plans import queries_decide, queries_packages, queries_stores, queries_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return queries_packages.QUERIES | queries_decide.QUERIES | queries_tables.QUERIES
+    return queries_packages.QUERIES | queries_decide.QUERIES | queries_stores.QUERIES | queries_tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_packages.SQL | queries_decide.SQL | queries_tables.SQL
+    return queries_packages.SQL | queries_decide.SQL | queries_stores.SQL | queries_tables.SQL
