@@ -10,7 +10,7 @@ only.
 Defined cases: null and blank texts have no passages and become ''; a null conv_id is a conversation of its own; a null
 turn comes last; equal rows are one message, rows that differ but share a turn are different messages; a message
 without quotes, or whose quotes are not found, begins a thread; an empty table gives an empty result; other columns
-are ignored.
+are ignored. Texts are read whole; a chain of replies may be of any length.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from palisade.llm.common import materialize
 
 QUOTE = r"^[ \t]*>(?:[ \t]*>)*[ \t]?"
 NO_TURN = (1 << 63) - 1
+#: Turns in one span, see sourced.
+SPAN = 4096
 
 
 def messages(conversations: DataFrame) -> DataFrame:
@@ -55,23 +57,46 @@ def links(found: DataFrame) -> DataFrame:
     bodies = own.groupBy("ck", "turn", "mid").agg(F.md5(body).alias("hash"))
     originals = own.select("ck", "turn", "mid", "hash").unionByName(bodies).distinct()
     both = quoted.unionByName(originals.withColumn("level", F.lit(0)).withColumn("block", F.lit(None).cast("long")))
-    earlier = Window.partitionBy("ck", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    source = F.max(F.when(F.col("level") == 0, F.struct("turn", "mid"))).over(earlier)
-    return both.withColumn("source", source).filter("level > 0").select("ck", "turn", "mid", "level", "block", F.col("source.turn").alias("source_turn"), F.col("source.mid").alias("source_mid"))
-
-
-def reply_paths(parents: DataFrame) -> DataFrame:
-    """ck, turn, mid, path: from the thread's first message to this one. Paths double in length each round."""
-    step = F.struct("turn", "mid")
-    state = materialize(parents.select("ck", "turn", "mid", F.array(F.col("parent"), step).alias("path"), F.col("parent").alias("top")))
-    while True:
-        above = state.select(F.col("ck").alias("k"), F.struct("turn", "mid").alias("at"), F.col("path").alias("upper"), F.col("top").alias("next"))
-        joined = state.join(above, (F.col("ck") == F.col("k")) & (F.col("top") == F.col("at")), "left")
-        joined = joined.select("ck", "turn", "mid", F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", F.slice("path", 2, F.size("path")))).alias("path"), F.coalesce("next", "top").alias("top"), F.col("upper").isNotNull().alias("grew"))
-        joined = materialize(joined)
-        state = joined.drop("grew")
-        if joined.filter("grew").isEmpty():
-            return state.drop("top")
+    return sourced(both).filter("level > 0").select("ck", "turn", "mid", "level", "block", F.col("source.turn").alias("source_turn"), F.col("source.mid").alias("source_mid"))
+
+
+def sourced(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """rows (ck, hash, turn, mid, level 0 for an original) with source: the latest original of an earlier turn, or null.
+    Turns are cut into spans: a row looks into its own span, then at what the spans before it end with, so that a
+    passage which fills one conversation is many tasks' work."""
+    rows = rows.withColumn("span", F.expr(f"turn div {span}"))
+    original = F.when(F.col("level") == 0, F.struct("turn", "mid"))
+    spans = Window.partitionBy("ck", "hash").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("ck", "hash", "span").agg(F.max(original).alias("best")).withColumn("before", F.max("best").over(spans)).drop("best")
+    within = Window.partitionBy("ck", "hash", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("near", F.max(original).over(within)).join(ends, ["ck", "hash", "span"])
+    return found.withColumn("source", F.coalesce("near", "before")).drop("near", "before", "span")
+
+
+def reply_order(replies: DataFrame) -> DataFrame:
+    """ck, turn, mid, root, position, depth of every message that replies or is replied to. replies: ck, turn, mid, parent.
+
+    Each thread is walked round once: a message is entered, then its replies by turn, then it is left. The walk is a
+    list of which every step knows the next; steps double in length each round (list ranking), so a chain of replies
+    costs rows in proportion to its length, each of a fixed size.
+    """
+    edges = replies.select("ck", F.struct("turn", "mid").alias("at"), "parent")
+    siblings = Window.partitionBy("ck", "parent").orderBy("at")
+    nodes = edges.withColumn("sibling", F.lead("at").over(siblings))
+    roots = edges.select("ck", F.col("parent").alias("at")).distinct().join(edges.select("ck", "at"), ["ck", "at"], "left_anti")
+    nodes = nodes.unionByName(roots, allowMissingColumns=True)
+    first = edges.groupBy("ck", F.col("parent").alias("at")).agg(F.min("at").alias("first"))
+    step = lambda at, side: F.struct(F.col(at).alias("at"), F.lit(side).alias("side"))
+    entered = nodes.join(first, ["ck", "at"], "left").select("ck", step("at", 0).alias("step"), F.when(F.col("first").isNotNull(), step("first", 0)).otherwise(step("at", 1)).alias("next"), F.lit(1).alias("climb"))
+    left = nodes.select("ck", step("at", 1).alias("step"), F.when(F.col("sibling").isNotNull(), step("sibling", 0)).when(F.col("parent").isNotNull(), step("parent", 1)).alias("next"), F.lit(-1).alias("climb"))
+    walk = entered.unionByName(left).select("ck", "step", "next", F.col("climb").cast("long"), F.when(F.col("climb") > 0, 1).otherwise(0).cast("long").alias("entries"), F.col("step.at").alias("root"))
+    walk = materialize(walk)
+    while not walk.filter("next IS NOT NULL").isEmpty():
+        on = walk.select("ck", F.col("step").alias("next"), F.col("next").alias("over"), F.col("climb").alias("climb_on"), F.col("entries").alias("entries_on"), F.col("root").alias("root_on"))
+        both = walk.join(on, ["ck", "next"], "left")
+        walk = materialize(both.select("ck", "step", F.col("over").alias("next"), (F.col("climb") + F.coalesce("climb_on", F.lit(0))).alias("climb"), (F.col("entries") + F.coalesce("entries_on", F.lit(0))).alias("entries"), F.coalesce("root_on", "root").alias("root")))
+    sizes = walk.groupBy("ck", "root").agg(F.max("entries").alias("size"))
+    return walk.filter("step.side = 0").join(sizes, ["ck", "root"]).select("ck", F.col("step.at.turn").alias("turn"), F.col("step.at.mid").alias("mid"), "root", (F.col("size") - F.col("entries")).alias("position"), (-F.col("climb")).alias("depth"))
 
 
 def linked_conversations(conversations: DataFrame) -> DataFrame:
@@ -83,14 +108,12 @@ def linked_conversations(conversations: DataFrame) -> DataFrame:
         F.min_by(F.struct(F.col("source_turn").alias("turn"), F.col("source_mid").alias("mid")), F.when(F.col("source_turn").isNotNull(), F.struct("level", "block"))).alias("parent"),
     )
     replies = per.filter("n_linked > 0").select("ck", "turn", "mid", "parent")
-    paths = reply_paths(replies)
+    order = reply_order(replies)
     kept = F.array_join(F.filter(F.split("text", r"\r?\n"), lambda line: ~line.rlike(QUOTE)), "\n")
-    out = found.join(per, ["ck", "turn", "mid"], "left").join(paths, ["ck", "turn", "mid"], "left")
-    out = out.withColumn("path", F.coalesce("path", F.array(F.struct("turn", "mid"))))
-    place = Window.partitionBy("ck", F.col("path")[0]).orderBy("path")
+    out = found.join(per, ["ck", "turn", "mid"], "left").join(order, ["ck", "turn", "mid"], "left")
     turn = lambda c: F.when(c != NO_TURN, c)
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
-        "conv_id", F.col("given").alias("turn"), "role", turn(F.col("path")[0]["turn"]).alias("thread"), (F.row_number().over(place) - 1).cast("long").alias("position"),
-        (F.size("path") - 1).cast("long").alias("depth"), turn(F.col("parent.turn")).alias("parent_turn"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
-        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.regexp_replace(kept, r"^\n+|\n+$", "").alias("text"),
+        "conv_id", F.col("given").alias("turn"), "role", turn(F.coalesce(F.col("root.turn"), F.col("turn"))).alias("thread"), whole("position"), whole("depth"), turn(F.col("parent.turn")).alias("parent_turn"),
+        whole("n_quotes"), whole("n_linked"), F.regexp_replace(kept, r"^\n+|\n+$", "").alias("text"),
     )

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 
 from palisade.llm.queries import SQL
-from palisade.llm.quotes import linked_conversations
+from palisade.llm.quotes import linked_conversations, sourced
 
 LAST = (1 << 63) - 1
 MARK = re.compile(r"^[ \t]*>(?:[ \t]*>)*[ \t]?")
@@ -94,3 +94,24 @@ def test_fixture(spark):
     con.execute("CREATE TABLE conversations AS SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(role AS VARCHAR) AS role, CAST(text AS VARCHAR) AS text FROM given")
     names = "conv_id, turn, role, thread, position, depth, parent_turn, n_quotes, n_linked, text"
     assert sorted(con.execute(f"SELECT {names} FROM ({SQL['op5_quotation_links']})").fetchall(), key=key) == sorted(got, key=key)
+
+
+def test_long_chain(spark):
+    """Every message answers the one before it, and each tenth gets a second answer."""
+    rows = [(0, "m0 body")] + [(t, f"> m{t - 1} body\nm{t} body") for t in range(1, 150)] + [(1000 + t, f"> m{t} body\nside {t}") for t in range(0, 150, 10)]
+    df = spark.createDataFrame([(7, t, "user", w) for t, w in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in linked_conversations(df).collect()}
+    assert all(got[t].depth == got[t].position == t and got[t].thread == 0 for t in range(150))
+    # side answers come when the chain below their original has been read, the deepest first
+    assert [t for t in sorted(got, key=lambda t: got[t].position)][150:] == [1000 + t for t in range(140, -1, -10)]
+    assert all(got[1000 + t].depth == t + 1 for t in range(0, 150, 10))
+
+
+def test_spans(spark):
+    """A passage told many times in one conversation: the latest earlier one counts, however turns are cut."""
+    rng = random.Random(3)
+    rows = [("c", "h", rng.randrange(-20, 60), f"m{i}", rng.randrange(2), i) for i in range(120)] + [("c", "h", LAST, "n", 1, 500), ("c", "k", 5, "a", 1, 501)]
+    df = spark.createDataFrame(rows, "ck string, hash string, turn long, mid string, level int, block long")
+    want = {r[5]: max(((o[2], o[3]) for o in rows if o[1] == r[1] and o[4] == 0 and o[2] < r[2]), default=None) for r in rows}
+    for span in (1, 7, 4096):
+        assert {r.block: r.source and tuple(r.source) for r in sourced(df, span).collect()} == want
