@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.functions import ed25519
 from palisade.functions.scalars import is_digest, is_signed_envelope
 
 VERDICT = "artifact struct<ecosystem:string,name:string,version:string,digest:string>, decision string, reason string, signals array<struct<stage:string,rule:string,severity:string,description:string,evidence:string>>, decided_at timestamp, engine string, rules_version string, diff struct<prev_version:string,added:array<string>,removed:array<string>,modified:array<string>>"
@@ -84,7 +85,7 @@ class Signer(ABC):
 
 
 class HmacSigner(Signer):
-    """HMAC-SHA256 with a key that the executors share. The seam for a public-key signer."""
+    """HMAC-SHA256 with a key that the executors share: who can check can sign."""
 
     algorithm = "hmac-sha256"
 
@@ -95,6 +96,39 @@ class HmacSigner(Signer):
         return hmac.new(self.key, text.encode(), hashlib.sha256).hexdigest()
 
 
+class Ed25519Checker(Signer):
+    """Checks with the public key alone; it can't sign."""
+
+    algorithm = "ed25519"
+
+    def __init__(self, public: bytes):
+        self.public, self.key_id = public, hashlib.sha256(public).hexdigest()[:16]
+
+    def sign(self, text: str) -> str:
+        raise TypeError("signing takes the seed")
+
+    def check(self, text: str, signature: str) -> bool:
+        try:
+            given = bytes.fromhex(signature or "")
+        except ValueError:
+            return False
+        return ed25519.check(self.public, text.encode(), given)
+
+
+class Ed25519Signer(Ed25519Checker):
+    """Signs with a seed of 32 bytes; `checker` is what others may have."""
+
+    def __init__(self, seed: bytes):
+        super().__init__(ed25519.public_key(seed))
+        self.seed = seed
+
+    def sign(self, text: str) -> str:
+        return ed25519.sign(self.seed, text.encode()).hex()
+
+    def checker(self) -> Ed25519Checker:
+        return Ed25519Checker(self.public)
+
+
 def canonical(verdict: Column) -> Column:
     """The text that is signed: JSON in the fixed order of columns."""
     return F.to_json(verdict)

@@ -6,8 +6,11 @@ import tarfile
 import zipfile
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from palisade.functions import ed25519
+from palisade.functions.scalars import last_json_object
 from palisade.operators.decide import policies
 from palisade.plans import splits
 from palisade.plans.scoring import admit
@@ -186,3 +189,39 @@ def test_streams(spark, tmp_path):
     got = sorted((r.seq, r.version, r.digest) for r in spark.read.schema(admission.HISTORY).parquet(str(tmp_path / "h")).collect())
     assert got == [(0, "1", "a"), (1, "2", "b"), (2, "4", "c")]
     assert sorted(r.digest for r in spark.read.parquet(str(judged)).collect()) == ["a", "b", "c"]
+
+
+def test_ed25519(spark):
+    """Keys and signatures equal the JDK's; what isn't signed by the key is as if missing."""
+    seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
+    assert ed25519.public_key(seed).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
+    jdk = spark._jvm.java.security
+    for n in range(8):
+        seed, message = bytes([n] * 32), ("é" * n).encode()
+        key = jdk.KeyFactory.getInstance("Ed25519").generatePrivate(jdk.spec.EdECPrivateKeySpec(jdk.spec.NamedParameterSpec.ED25519, seed))
+        signature = jdk.Signature.getInstance("Ed25519")
+        signature.initSign(key)
+        signature.update(message)
+        made = ed25519.sign(seed, message)
+        assert bytes(signature.sign()) == made
+        public = ed25519.public_key(seed)
+        assert ed25519.check(public, message, made)
+        assert not ed25519.check(public, message + b"x", made) and not ed25519.check(public, message, made[:32] + bytes([made[32] ^ 1]) + made[33:])
+        late = int.from_bytes(made[32:], "little") + ed25519.ORDER
+        assert not ed25519.check(public, message, made[:32] + late.to_bytes(32, "little")) and not ed25519.check(public, message, b"")
+    assert ed25519.unpacked(b"\xff" * 32) is None and ed25519.unpacked(b"\x02" + b"\0" * 31) is None
+    rows, signer = verdict_rows(spark), sinks.Ed25519Signer(b"s" * 32)
+    signed, checker = sinks.sealed(rows, signer), signer.checker()
+    assert sinks.opened(signed, checker).count() == 2
+    forged = signed.withColumn("document", F.replace("document", F.lit("block"), F.lit("allow")))
+    assert {r.digest for r in sinks.opened(forged, checker).collect()} == {"sha256:b"}
+    assert sinks.opened(signed, sinks.Ed25519Signer(b"t" * 32)).count() == 0
+    with pytest.raises(TypeError):
+        checker.sign("x")
+    assert not checker.check("x", "no hex")
+
+
+def test_judgments_in_noise(spark):
+    texts = ['x { {"a":1} y', '{"a":1} {"b":"}"} {', '{"a":{"b":2}}', "{ \\{ }", 'a "{" {"c":1}', "}", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", last_json_object("t").alias("o"))
+    assert [r.o for r in df.orderBy("i").collect()] == ['{"a":1}', '{"b":"}"}', '{"a":{"b":2}}', "{ \\{ }", '{"c":1}', None, None, None]
