@@ -50,7 +50,7 @@ def passages(found: DataFrame) -> DataFrame:
 
 def links(found: DataFrame) -> DataFrame:
     """A row a quoted passage: ck, turn, mid, level, block, and its original's source_turn and source_mid or null."""
-    parts = passages(found).withColumn("hash", F.md5("words"))
+    parts = materialize(passages(found).withColumn("hash", F.md5("words")))
     quoted = parts.filter("level > 0").select("ck", "turn", "mid", "hash", "level", "block")
     own = parts.filter("level = 0")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "words"))), lambda x: x["words"]), " ")
