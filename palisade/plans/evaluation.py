@@ -27,9 +27,15 @@ def tally(samples: DataFrame, decided: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(errors)).withColumn("recall_pct", percent(F.col("caught"), F.col("malicious"))).withColumn("fp_pct", percent(F.col("flagged"), F.col("benign")))
 
 
+def _every(samples: DataFrame, rules: DataFrame, told: DataFrame) -> DataFrame:
+    """The tally of every policy; zeros where no sample could be analysed."""
+    errors = samples.agg(F.count_if(F.col("error").isNotNull()).alias("errors"))
+    return rules.select("policy").join(told.drop("errors"), "policy", "left").fillna(0).crossJoin(F.broadcast(errors))
+
+
 def replay(samples: DataFrame, findings: DataFrame, rules: DataFrame) -> DataFrame:
     """The tally of each policy."""
-    return tally(samples, decisions(samples.filter("error IS NULL"), findings, rules))
+    return _every(samples, rules, tally(samples, decisions(samples.filter("error IS NULL"), findings, rules)))
 
 
 def sweep(samples: DataFrame, findings: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def sweep(samples: DataFrame, findings: DataFrame) -> DataFrame:
     sound = samples.filter("error IS NULL")
     every = sound.select("digest").join(counts, "digest", "left").fillna(0, ["critical", "high", "medium"]).crossJoin(F.broadcast(grid))
     decided = every.select("policy", "digest", ladder(F.col("critical"), F.col("high"), F.col("medium")).alias("decision"))
-    return tally(samples, decided).join(F.broadcast(grid.select("policy", "critical_quorum", "high_quorum", "medium_quorum")), "policy")
+    return _every(samples, grid, tally(samples, decided)).join(F.broadcast(grid.select("policy", "critical_quorum", "high_quorum", "medium_quorum")), "policy")
 
 
 def attribution(samples: DataFrame, findings: DataFrame) -> DataFrame:
