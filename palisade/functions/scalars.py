@@ -400,28 +400,33 @@ def _object_end(text: str, start: int) -> int | None:
     return None
 
 
+def last_object(text: str | None) -> str | None:
+    """The last balanced top-level object in noisy output; a brace that is never closed opens none."""
+    last, at = None, 0
+    while text and (start := text.find("{", at)) >= 0:
+        end = _object_end(text, start)
+        last, at = (last, start + 1) if end is None else (text[start:end], end)
+    return last
+
+
 @F.pandas_udf(T.StringType())
 def last_json_object(texts: pd.Series) -> pd.Series:
-    """The last balanced top-level object in noisy output; a brace that is never closed opens none. A scanner, hence
-    Python."""
+    """last_object of each text. A scanner, hence Python."""
+    return texts.map(last_object)
 
-    def find(text: str | None) -> str | None:
-        last, at = None, 0
-        while text and (start := text.find("{", at)) >= 0:
-            end = _object_end(text, start)
-            last, at = (last, start + 1) if end is None else (text[start:end], end)
-        return last
 
-    return texts.map(find)
+MODEL_OUTPUT = "verdict string, confidence double, rationale string, signals array<string>"
 
 
-MODEL_OUTPUT = "verdict string, confidence double, rationale string, signals array<string>"
+def model_judgment(found: Column) -> Column:
+    """Struct of a model's judgment, given its JSON object; null unless its verdict is one of the three."""
+    out = F.from_json(found, MODEL_OUTPUT)
+    return F.when(out["verdict"].isin("allow", "quarantine", "block"), out)
 
 
 def parse_model_output(text: Column) -> Column:
-    """Struct of a model's judgment; null unless its verdict is one of the three."""
-    out = F.from_json(last_json_object(text), MODEL_OUTPUT)
-    return F.when(out["verdict"].isin("allow", "quarantine", "block"), out)
+    """The judgment in a model's output."""
+    return model_judgment(last_json_object(text))
 
 
 def advisory_severity(label: Column, scores: Column) -> Column:
